@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import by_text, hash_order, ids_and_texts, materialise, prefix_digits, running_total
+from lodestar.llm.common import by_text, hash_order, ids_and_texts, map_arrow, materialise, prefix_digits, running_total
 from lodestar.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
         return out
 
     spark_schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return ids_and_texts(documents).mapInArrow(by_text(work, PIECES), spark_schema)
+    return map_arrow(ids_and_texts(documents), by_text(work, PIECES), spark_schema)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -110,4 +110,4 @@ def place(made: DataFrame, capacity: int, spark) -> DataFrame:
             keep = [batch.column(batch.schema.get_field_index(k)) for k in PIECES.names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=[*PIECES.names, "sequence_id", "offset"])
 
-    return ranked.select(*PIECES.names, F.col("rank").cast("long").alias("rank")).mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked.select(*PIECES.names, F.col("rank").cast("long").alias("rank")), assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
