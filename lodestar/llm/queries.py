@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, packing, pii, quality, secrets, sql, toxicity
+from lodestar.llm import html, mixing, packing, pii, quality, secrets, sql, topk, toxicity
 from lodestar.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -38,7 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_secrets, op4_pii, op5_mixing, op6_quality, op7_toxicity, op8_packing)
+    found = (op1_topk, op2_html, op3_secrets, op4_pii, op5_mixing, op6_quality, op7_toxicity, op8_packing)
     return {f.__name__: f for f in found}
 
 
