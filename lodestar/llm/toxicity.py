@@ -33,6 +33,8 @@ from lodestar.llm.common import hash_order, ids_and_texts, map_arrow, slices
 TRAIN_ROWS = 20_000
 #: Features (words, beginnings, endings) that the model holds at most, those with the clearest tendency.
 MODEL_FEATURES = 20_000
+#: Features of toxic documents that are counted in the others at most, the commonest.
+CANDIDATES = 100_000
 #: Characters of the beginnings and endings of longer words.
 AFFIXES = (4, 5, 6)
 #: Pseudo-documents of each class, spread over the features as all documents are.
@@ -164,29 +166,38 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFra
     return ids_and_texts(documents).join(F.broadcast(sample), "doc_id")  # at most ``most`` rows of three numbers
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """feature, toxic, documents with it; summed by slices."""
-    for batch in slices(batches, 2048):
-        docs: Counter = Counter()
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            docs.update({(f, toxic) for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in docs], pa.string()), pa.array([t for _, t in docs], pa.int32()), pa.array(list(docs.values()), pa.int64())], names=["feature", "toxic", "docs"])
+def count_features(rows: DataFrame, known: set[str] | None = None) -> DataFrame:
+    """feature, docs: in how many texts of ``rows`` each feature occurs, or each of the known ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            docs: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                found = {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
+                docs.update(found if known is None else found & known)
+            yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64())], names=["feature", "docs"])
 
-def feature_odds(counted: DataFrame, toxic_docs: int, other_docs: int) -> DataFrame:
-    """feature, odds of the features with a clear tendency to toxic documents."""
-    by = counted.groupBy("feature").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("docs")).otherwise(0)).cast("double").alias(f"d{t}") for t in (0, 1)])
-    seen, total = F.col("d0") + F.col("d1"), float(toxic_docs + other_docs)
-    alpha = seen / total * PRIOR
+    return map_arrow(rows.select("text"), run, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
 
-    def odds(d: str, n: int) -> Column:
-        return F.log((F.col(d) + alpha) / (n + PRIOR - F.col(d) - alpha + 1))
 
-    def part(d: str, n: int) -> Column:
-        return F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) * total / (seen * n))).otherwise(0.0)
+def feature_odds(rows: DataFrame, toxic_docs: int, other_docs: int) -> dict[str, float]:
+    """Log-odds of the features with a clear tendency to toxic documents.
 
-    tested = by.where(F.col("d1") >= max(LEAST_DOCS, LEAST_SHARE * toxic_docs)).withColumn("odds", odds("d1", toxic_docs) - odds("d0", other_docs)).withColumn("clear", 2 * (part("d1", toxic_docs) + part("d0", other_docs)))
-    return tested.where((F.col("clear") >= CLEAR) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("clear"), "feature").limit(MODEL_FEATURES).select("feature", "odds")
+    Only features of enough toxic documents can have one, so only those are counted in the others.
+    """
+    least = max(LEAST_DOCS, LEAST_SHARE * toxic_docs)
+    common = count_features(rows.where("toxic = 1")).where(F.col("docs") >= least).orderBy(F.desc("docs"), "feature").limit(CANDIDATES)
+    in_toxic = {r["feature"]: r["docs"] for r in common.collect()}
+    in_other = {r["feature"]: r["docs"] for r in count_features(rows.where("toxic = 0"), set(in_toxic)).collect()}
+    total, found = toxic_docs + other_docs, []
+    for feature, d1 in in_toxic.items():
+        d0 = in_other.get(feature, 0)
+        alpha = (d0 + d1) / total * PRIOR
+        odds = math.log((d1 + alpha) / (toxic_docs + PRIOR - d1 - alpha + 1)) - math.log((d0 + alpha) / (other_docs + PRIOR - d0 - alpha + 1))
+        clear = 2 * sum(d * math.log(d * total / ((d0 + d1) * n)) for d, n in ((d1, toxic_docs), (d0, other_docs)) if d)
+        if clear >= CLEAR and odds >= LEAST_ODDS:
+            found.append((-clear, feature, min(odds, MOST_ODDS)))
+    return {feature: odds for _, feature, odds in sorted(found)[:MODEL_FEATURES]}
 
 
 def solve_lambda(counts: Counter, total: int) -> float:
@@ -223,8 +234,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mo
         sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
         if not all(sizes.get((0, t)) for t in (0, 1)):
             return Model(Scores({}), 1.0, 0.0, ())
-        counted = map_arrow(rows.where("part = 0").select("text", "toxic"), count_features, "feature string, toxic int, docs long")
-        scores = Scores({r["feature"]: min(r["odds"], MOST_ODDS) for r in feature_odds(counted, sizes[0, 1], sizes[0, 0]).collect()})  # MODEL_FEATURES at most
+        scores = Scores(feature_odds(rows.where("part = 0"), sizes[0, 1], sizes[0, 0]))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
