@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import hash_order, ids_and_texts, map_arrow, slices
+from lodestar.llm.common import hash_order, ids_and_texts, map_arrow, materialise, slices
 
 #: Labelled documents that training reads at most.
 TRAIN_ROWS = 20_000
@@ -170,7 +170,7 @@ def count_features(rows: DataFrame, known: set[str] | None = None) -> DataFrame:
     """feature, docs: in how many texts of ``rows`` each feature occurs, or each of the known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 128):
             docs: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 found = {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
@@ -229,24 +229,21 @@ def fit_curve(rows: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    rows = training_rows(documents, labels, most).select("text", "toxic", "part").persist()
-    try:
-        sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-        if not all(sizes.get((0, t)) for t in (0, 1)):
-            return Model(Scores({}), 1.0, 0.0, ())
-        scores = Scores(feature_odds(rows.where("part = 0"), sizes[0, 1], sizes[0, 0]))
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                found = [hits_of(t or "", scores) for t in batch.column(0).to_pylist()]
-                hits = pa.array([[s for _, s in h] for h, _ in found], pa.list_(pa.float64()))
-                sums = pa.array([sorted((s for s, _, _ in segments(h)), reverse=True) for h, _ in found], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for _, n in found], pa.int64()), sums, hits], names=["toxic", "part", "n", "sums", "hits"])
-
-        # of at most ``most`` documents, the few words that score
-        measured = sorted(tuple(r) for r in map_arrow(rows, measure, "toxic int, part int, n long, sums array<double>, hits array<double>").collect())
-    finally:
-        rows.unpersist()
+    rows = materialise(training_rows(documents, labels, most).select("text", "toxic", "part"))
+    sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(sizes.get((0, t)) for t in (0, 1)):
+        return Model(Scores({}), 1.0, 0.0, ())
+    scores = Scores(feature_odds(rows.where("part = 0"), sizes[0, 1], sizes[0, 0]))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [hits_of(t or "", scores) for t in batch.column(0).to_pylist()]
+            hits = pa.array([[s for _, s in h] for h, _ in found], pa.list_(pa.float64()))
+            sums = pa.array([sorted((s for s, _, _ in segments(h)), reverse=True) for h, _ in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for _, n in found], pa.int64()), sums, hits], names=["toxic", "part", "n", "sums", "hits"])
+
+    # of at most ``most`` documents, the few words that score
+    measured = sorted(tuple(r) for r in map_arrow(rows, measure, "toxic int, part int, n long, sums array<double>, hits array<double>").collect())
     background = [(n, sums, hits) for toxic, part, n, sums, hits in measured if not toxic and not part]
     lam = solve_lambda(Counter(round(s, 3) for *_, hits in background for s in hits), sum(n for n, *_ in background))
     # the mean of a Gumbel variable is its location and Euler's constant
