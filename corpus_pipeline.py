@@ -1,15 +1,32 @@
-"""A training corpus from raw documents, in stages that each work on all its predecessor kept."""
+"""A training corpus from raw documents, in stages that each work on all its predecessor kept.
+
+Toxic documents go, then lines that repeat earlier ones, then near-duplicates but one of each group;
+the rest is mixed to its sources' target weights and packed into sequences. Nulls, empty tables and
+further columns are treated as in the stages' operators.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, packing
+from lodestar.llm import linededup, mixing, neardup, packing, toxicity
 from lodestar.llm.common import materialise, table
 from lodestar.llm.queries import VOCABULARY
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.without_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.without_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
@@ -17,9 +34,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, VOCABULARY)
 
 
-STAGES = [("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: Learned scores and a public tokenizer take part, which SQL has not.
+#: Learned scores, hashed signatures and a public tokenizer take part, which SQL has not.
 ORACLE_SQL = None
 
 

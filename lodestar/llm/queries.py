@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import html, mixing, neardup, packing, pii, quality, secrets, sql, topk, toxicity
+from lodestar.llm import html, linededup, mixing, neardup, packing, pii, quality, secrets, sql, topk, toxicity
 from lodestar.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,12 +45,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk, op2_html, op3_secrets, op4_pii, op5_mixing, op6_quality, op7_toxicity, op8_packing, op10_neardup)
+    found = (op1_topk, op2_html, op3_secrets, op4_pii, op5_mixing, op6_quality, op7_toxicity, op8_packing, op9_linededup, op10_neardup)
     return {f.__name__: f for f in found}
 
 
