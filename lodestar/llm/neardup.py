@@ -32,8 +32,9 @@ from lodestar.llm.graph import components
 from lodestar.llm.shingles import STEP, as_set, common, mix, shingles, word_hashes
 
 SIMILARITY = 0.8
-#: With 32 bands of 4 registers a pair of similarity 0.8 stays unproposed once in 2 * 10^7.
-BANDS, ROWS = 32, 4
+#: With 64 bands of 8 registers a pair of similarity 0.8 stays unproposed with a chance of 8 in 10^6,
+#: and one of 0.5 is proposed with a chance of a fifth.
+BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 #: Documents whose points are drawn together.
 TOGETHER = 64
@@ -136,23 +137,17 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bags = materialise(bags_of(documents, buckets.select("node").distinct()))
     edges, tried, labels = [], [], None
     for turn in range(LEADER_ROUNDS + 1):
-        unsettled = buckets
+        named = buckets.withColumn("label", F.col("node"))
         if labels is not None:
             named = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-            wide = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-            unsettled = materialise(named.join(wide, "band"))
-        if turn < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("n")) if turn else F.struct(F.col("node").alias("n"))
-            lead = unsettled.groupBy("band").agg(F.min(order).alias("l")).select("band", F.col("l.n").alias("lead"))
-            if labels is not None:
-                names = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-                lead = lead.join(names, "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
-                pairs = unsettled.join(lead, "band").where("label != lead_label")
-            else:
-                pairs = unsettled.join(lead, "band")
-            pairs = pairs.where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        wide = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
+        open_ = materialise(named.join(wide, "band")) if turn else named
+        if turn < LEADER_ROUNDS:  # another leader in each round
+            order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0)
+            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("h"), "node", "label")).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
+            pairs = open_.join(lead, "band").where("label != lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            left, right = unsettled.toDF("band", "a", "label_a"), unsettled.toDF("band", "b", "label_b")
+            left, right = (open_.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
             pairs = left.join(right, "band").where("a < b and label_a != label_b").select("a", "b")
         pairs = pairs.distinct()
         for old in tried:
