@@ -9,10 +9,11 @@ similarity, without bias. Points come in time order, and a shingle stops at the
 
 Bands of registers propose pairs. In each bucket, members are first compared with one of them, then
 with others, then, where a bucket still spans several classes, across the classes: a pair within a
-class proves nothing new, so the classes are those of all proposed pairs. Pairs are verified by
-the exact weighted Jaccard overlap of 64-bit shingle hashes.
+class proves nothing new, so the classes are those of all proposed pairs. Of pairs across classes
+only those go on whose longer sketches agree nearly enough. Pairs are verified by the exact weighted
+Jaccard overlap of 64-bit shingle hashes.
 
-Texts of equal words are one text. Texts of fewer than five words are one shingle; texts without
+Words are split at ASCII white space. Texts of equal shingles are one text. Texts of fewer than five words are one shingle; texts without
 words and nulls have no class but their own. Rows of a null id are kept and have a null class; rows
 that share an id share a class. An empty table gives an empty result.
 """
@@ -20,16 +21,16 @@ that share an id share a class. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import BROADCAST_ROWS, ids_and_texts, map_arrow, materialise, slices
 from lodestar.llm.graph import components
-from lodestar.llm.shingles import STEP, as_set, common, mix, shingles, word_hashes
+from lodestar.llm.shingles import FACTOR, STEP, as_set, bags, common, mix
 
 SIMILARITY = 0.8
 #: With 64 bands of 8 registers a pair of similarity 0.8 stays unproposed with a chance of 8 in 10^6,
@@ -38,31 +39,51 @@ BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 #: Documents whose points are drawn together.
 TOGETHER = 64
+#: Registers of the one-bit sketches that pairs across classes are first compared by, and how far below
+#: the similarity their estimate may be: at 0.8 it falls lower with a chance of 1 in 10^6.
+SKETCH, SLACK = 4096, 0.046
 #: Rounds that compare each member of an unsettled bucket with one other.
 LEADER_ROUNDS = 3
 
 
 def points(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
-    """The registers (n x registers) of n bags: elements with their bag's number and whole weight."""
+    """The registers (n x registers, a power of two) of n bags: elements with their bag's number and whole weight."""
     depth = np.ceil(np.log2(np.maximum(weight, 1))).astype("int64") + 1  # nodes that reach the weight
     which = np.repeat(np.arange(len(elements)), depth)
     node = np.arange(len(which)) - np.repeat(np.cumsum(depth) - depth, depth)
-    low = np.where(node > 0, 2.0 ** np.maximum(node - 1, 0), 0.0)
-    width = np.where(node > 0, low, 1.0)
-    state, owner, weight = mix(elements[which] + (node.astype("uint64") + np.uint64(1)) * STEP), owner[which], weight[which]
-    time = np.zeros(len(which))
     first = np.full(n * registers, np.inf)
+    state = mix(elements[which] + (node.astype("uint64") + np.uint64(1)) * STEP)
+    one = node == 0  # of one level: every point counts
+    low = 2.0 ** np.maximum(node - 1, 0)
+    for chosen in (one, ~one):
+        _draw(first, state[chosen], owner[which[chosen]], registers, None if chosen is one else low[chosen], weight[which[chosen]])
+    return first.reshape(n, registers)
+
+
+def _draw(first: np.ndarray, state: np.ndarray, owner: np.ndarray, registers: int, low: np.ndarray | None, weight: np.ndarray) -> None:
+    """Points of every process in turn, in time order, until none can be a register's first."""
+    base, time, rest = owner * registers, np.zeros(len(state)), np.uint64(registers - 1)
+    rate = 1.0 / registers if low is None else 1.0 / (registers * low)
     while len(state):
         state = mix(state + STEP)
-        time = time - np.log1p(-(state >> np.uint64(11)).astype("float64") * 2.0**-53) / (width * registers)
-        spot = mix(state ^ STEP)
-        level = low + np.ceil(((spot >> np.uint64(40)).astype("float64") + 1) * 2.0**-24 * width)
-        use = level <= weight
-        at = owner * registers + (spot % np.uint64(registers)).astype("int64")
-        np.minimum.at(first, at[use], time[use])
-        on = time < first.reshape(n, registers).max(axis=1)[owner]
-        state, time, owner, weight, low, width = state[on], time[on], owner[on], weight[on], low[on], width[on]
-    return first.reshape(n, registers)
+        gap = (state >> np.uint64(11)).astype("float64")  # the other bits choose the register
+        gap *= -(2.0**-53)
+        np.log1p(gap, out=gap)
+        gap *= rate
+        time = time - gap
+        at = base + (state & rest).astype("int64")
+        if low is None:
+            np.minimum.at(first, at, time)
+        else:
+            level = low + np.ceil(((mix(state ^ STEP) >> np.uint64(40)).astype("float64") + 1) * 2.0**-24 * low)
+            use = level <= weight
+            np.minimum.at(first, at[use], time[use])
+        on = time < first.reshape(-1, registers).max(axis=1)[base // registers]
+        left = np.count_nonzero(on)
+        if left < len(state):
+            state, time, base = state[on], time[on], base[on]
+            if low is not None:
+                low, weight, rate = low[on], weight[on], rate[on]
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
@@ -79,20 +100,16 @@ def signatures(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TOGETHER):
-            ids, keys, bags, counts = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or "").split()
-                if words:
-                    ids.append(doc)
-                    keys.append(md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
-                    bag, count = np.unique(shingles(word_hashes(words)), return_counts=True)
-                    bags.append(bag)
-                    counts.append(count)
-            if ids:
-                owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-                found = bands(points(np.concatenate(bags), owner, np.concatenate(counts), len(bags)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS), pa.int32()), pa.array(found.view("int64").ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), flat], names=["doc_id", "key", "bands"])
+            found = bags(batch.column(1))
+            rows = [k for k, bag in enumerate(found) if len(bag)]
+            if rows:
+                sets, counts = zip(*(np.unique(found[k], return_counts=True) for k in rows))
+                # the sums of both finalised hashes: 128 bits of the multiset
+                keys = [b"".join(int(mix(found[k] ^ c).sum()).to_bytes(8, "little") for c in (STEP, FACTOR)) for k in rows]
+                owner = np.repeat(np.arange(len(rows)), [len(b) for b in sets])
+                drawn = bands(points(np.concatenate(sets), owner, np.concatenate(counts), len(rows)))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, drawn.size + 1, BANDS), pa.int32()), pa.array(drawn.view("int64").ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), flat], names=["doc_id", "key", "bands"])
 
     return map_arrow(ids_and_texts(documents).where("doc_id is not null"), run, "doc_id long, key binary, bands array<long>")
 
@@ -103,14 +120,33 @@ def bags_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [as_set(shingles(word_hashes((t or "").split()))).tobytes() for t in batch.column(1).to_pylist()]
+            found = [as_set(bag).tobytes() for bag in bags(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "bag"])
 
     rows = ids_and_texts(documents).join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
     return map_arrow(rows, run, "node long, bag binary")
 
 
-def verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+def sketches(held: DataFrame) -> DataFrame:
+    """node and sketch: one bit of each of ``SKETCH`` registers, as whole numbers of 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TOGETHER):
+            found = [np.frombuffer(b, "uint64") for b in batch.column(1).to_pylist()]
+            owner, every = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+            bits = mix(points(every, owner, np.ones(len(every), "int64"), len(found), SKETCH).view("uint64")) & np.uint64(1)
+            flat = np.packbits(bits.astype("uint8"), axis=1).view("int64").ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, SKETCH // 64), pa.int32()), pa.array(flat))], names=["node", "sketch"])
+
+    return map_arrow(held, run, "node long, sketch array<long>")
+
+
+def unlike(a: str, b: str) -> Column:
+    """In how many bits two sketches differ: half of 1 minus the similarity is to be expected."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH // 64)])
+
+
+def verify(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least that weighted Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +158,8 @@ def verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
                 kept.append(shared >= similarity * ((small + large) // 8 - shared) and shared > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = bags.toDF("a", "bag_a")
-    both = pairs.join(left, "a").join(bags.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
+    left = held.toDF("a", "bag_a")
+    both = pairs.join(left, "a").join(held.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
     return map_arrow(both, run, "a long, b long").distinct()
 
 
@@ -134,7 +170,7 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = texts.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band")
     buckets = materialise(rows.join(shared, "band"))  # of several texts
-    bags = materialise(bags_of(documents, buckets.select("node").distinct()))
+    held = materialise(bags_of(documents, buckets.select("node").distinct()))
     edges, tried, labels = [], [], None
     for turn in range(LEADER_ROUNDS + 1):
         named = buckets.withColumn("label", F.col("node"))
@@ -142,13 +178,16 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             named = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         wide = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
         open_ = materialise(named.join(wide, "band")) if turn else named
-        if turn < LEADER_ROUNDS:  # another leader in each round
-            order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0)
+        if turn < LEADER_ROUNDS:  # another leader in each bucket and round
+            order = F.xxhash64("node", "band", F.lit(turn)) if turn else F.lit(0)
             lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("h"), "node", "label")).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
             pairs = open_.join(lead, "band").where("label != lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            left, right = (open_.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-            pairs = left.join(right, "band").where("a < b and label_a != label_b").select("a", "b")
+            drawn = materialise(sketches(held.join(open_.select("node").distinct(), "node")))
+            marked = materialise(open_.join(drawn, "node"))
+            left, right = (marked.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+            alike = unlike("sketch_a", "sketch_b") <= int(SKETCH * (1 - similarity + SLACK) / 2)
+            pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & alike).select("a", "b")
         pairs = pairs.distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -158,7 +197,7 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 break
             continue
         tried.append(pairs)
-        found = materialise(verify(pairs, bags, similarity))
+        found = materialise(verify(pairs, held, similarity))
         if not found.isEmpty():
             edges.append(found)
             merged = found if labels is None else found.union(labels.select("label", "node"))

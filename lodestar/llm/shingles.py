@@ -1,66 +1,125 @@
-"""Hashed word shingles, vectorised over a text's words."""
+"""Hashed words and word shingles of Arrow text columns, without a Python object per word.
+
+Words are runs of bytes other than ASCII white space. A word's hash is that of its bytes as a number
+in a random odd base modulo 2^64, from prefix sums over the whole column, and then finalised.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 SIZE = 5
-#: Word hashes that one worker remembers; beyond it, it forgets all and starts anew.
-REMEMBERED = 500_000
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
+BASE = 0x5851F42D4C957F2D
 
-
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-@lru_cache(maxsize=1)
-def hashes() -> Hashes:
-    return Hashes()
+KIND = np.zeros(256, "uint8")  # 1: white space, 2: line feed
+KIND[[9, 11, 12, 13, 32]] = 1
+KIND[10] = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves every bit of the output."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(hashes().__getitem__, words), "uint64", len(words))
-
-
-def shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Hashes of all windows of ``size`` words; of all words together, if they are fewer."""
-    n = len(words)
-    width = min(size, n)
-    if not n:
-        return words
-    found = words[: n - width + 1].copy()
-    for k in range(1, width):
-        found = found * FACTOR + words[k : n - width + 1 + k]
-    return mix(found + np.uint64(width))
-
-
-def as_set(found: np.ndarray) -> np.ndarray:
-    """A multiset as a sorted set: the k-th copy of a hash becomes a hash of its own."""
-    found = np.sort(found)
-    if len(found) > 1 and (found[1:] == found[:-1]).any():
-        first = np.searchsorted(found, found)
-        copy = (np.arange(len(found)) - first).astype("uint64")
-        found = np.sort(np.where(copy > 0, mix(found + copy * STEP), found))
-    return found
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+@lru_cache(maxsize=2)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses, 2^bits of each."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        found = np.ones(1, "uint64")
+        while len(found) < 1 << bits:
+            found = np.concatenate((found, found * np.uint64(pow(base, len(found), 1 << 64))))
+        out.append(found)
+    return out[0], out[1]
+
+
+class Words:
+    """All words of a text column in order: hash, doc (row) and line (line feeds before it in its row)."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        rows = len(texts)
+        _, offsets, data = texts.buffers()
+        starts = np.frombuffer(offsets, "int64")[texts.offset : texts.offset + rows + 1] if rows else np.zeros(1, "int64")
+        raw = np.frombuffer(data, "uint8")[starts[0] : starts[-1]] if data is not None and starts[-1] > starts[0] else np.empty(0, "uint8")
+        starts = starts - starts[0]
+        kind = KIND[raw]
+        word = np.append(kind == 0, False)
+        edge = np.empty(len(raw), bool)  # where a word begins
+        if len(raw):
+            edge[0] = word[0]
+            edge[1:] = word[1:-1] & ~word[:-2]
+            inner = starts[1:-1][starts[1:-1] < len(raw)]
+            edge[inner] = word[inner]
+        begin = np.flatnonzero(edge)
+        stop = word[:-1] & ~word[1:]  # where one ends
+        if len(raw) and rows > 1:
+            cut = starts[1:-1]
+            cut = cut[(cut > 0) & (cut <= len(raw))] - 1
+            stop[cut] = word[cut]
+        end = np.flatnonzero(stop) + 1
+        up, down = powers(max(10, int(len(raw)).bit_length()))
+        sums = np.zeros(len(raw) + 1, "uint64")
+        np.cumsum((raw.astype("uint64") + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        self.hash = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype("uint64"))
+        self.rows = rows
+        self.doc = np.searchsorted(starts[1:], begin, side="right")
+        feeds = np.flatnonzero(kind == 2)
+        self.line = np.searchsorted(feeds, begin) - np.searchsorted(feeds, starts[:-1])[self.doc]
+
+
+def windows(words: np.ndarray, group: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` words within equal neighbours of ``group``, and their groups."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.empty(0, "uint64"), np.empty(0, group.dtype)
+    found = words[:n].copy()
+    for k in range(1, size):
+        found *= FACTOR
+        found += words[k : n + k]
+    inside = group[:n] == group[size - 1 :]
+    return mix(found[inside] + np.uint64(size)), group[:n][inside]
+
+
+def bags(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
+    """Per row the hashes of its word shingles, sorted, with repeats; of all its words, if they are fewer."""
+    words = Words(texts)
+    counts = np.bincount(words.doc, minlength=words.rows) if words.rows else np.empty(0, "int64")
+    found, owner = windows(words.hash, words.doc, size)
+    ends = np.searchsorted(owner, np.arange(words.rows + 1))
+    begin = np.cumsum(counts) - counts
+    out = []
+    for k in range(words.rows):
+        if counts[k] >= size:
+            bag = found[ends[k] : ends[k + 1]]
+            bag.sort()
+        else:
+            own = words.hash[begin[k] : begin[k] + counts[k]]
+            bag = own[:1].copy()
+            for w in own[1:]:
+                bag = bag * FACTOR + w
+            bag = mix(bag + np.uint64(counts[k]))
+        out.append(bag)
+    return out
+
+
+def as_set(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a sorted set: the k-th copy of a hash becomes a hash of its own."""
+    if len(bag) > 1 and (bag[1:] == bag[:-1]).any():
+        copy = (np.arange(len(bag)) - np.searchsorted(bag, bag)).astype("uint64")
+        bag = np.sort(np.where(copy > 0, mix(bag + copy * STEP), bag))
+    return bag
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
