@@ -7,12 +7,13 @@ n - ceil(t * n) + 1 rarest; lengths and places in the prefix rule out most that
 compared for the rest. A line goes if an earlier line (by doc_id, then line number) matches it.
 
 Lines of equal sets are found by one aggregation, so copies are never paired. Postings travel packed
-and only lists of two different sets or more are kept. Whether an earlier match exists is a semi join:
-it gives a row per line at most, however large a family of similar lines is.
+and only lists of two different sets or more are kept. A set is first compared with the earliest of
+each of its lists; for the others, whether an earlier match exists is a semi join, which gives a row
+per set at most, however large a family of similar lines is.
 
 Lines of fewer words, null texts and rows of a null id stay as they are. Rows that repeat both id and
 text are the same lines, and keep or lose them alike. An empty table gives an empty result. Equality
-of shingles is that of 64-bit hashes.
+of shingles is that of 64-bit hashes. Words are split at ASCII white space.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import BROADCAST_ROWS, map_arrow, materialise, slices
-from lodestar.llm.shingles import FACTOR, SIZE, STEP, mix, word_hashes
+from lodestar.llm.shingles import FACTOR, STEP, Words, mix, windows
 
 SIMILARITY = 0.8
 #: Cells of the table that counts shingles, and in how many parts it travels.
 CELLS, PARTS = 1 << 18, 16
+#: Documents whose lines are looked at together.
+TOGETHER = 128
 #: Postings in a group that a task sorts, and postings gathered before they are dealt out.
 GROUP, GATHERED = 400_000, 1_000_000
 
@@ -40,40 +43,36 @@ def prefix_of(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 class Lines:
-    """The lines with shingles of a slice of documents: which document and number, and all their shingles."""
-
-    def __init__(self, texts: list[str]):
-        rows = [(d, k, w) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(w := line.split()) >= SIZE]
-        self.doc = np.array([d for d, _, _ in rows], "int64")
-        self.number = np.array([k for _, k, _ in rows], "int32")
-        counts = np.array([len(w) for *_, w in rows], "int64")
-        words = word_hashes([x for *_, w in rows for x in w])
-        windows = counts - SIZE + 1
-        begin = np.cumsum(counts) - counts
-        self.line = np.repeat(np.arange(len(rows)), windows)
-        first = np.arange(len(self.line)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begin, windows)
-        found = words[first]
-        for k in range(1, SIZE):
-            found = found * FACTOR + words[first + k]
-        self.shingle = mix(found + np.uint64(SIZE))
+    """The lines with shingles of a text column: which row and number, their shingles and sets' keys."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        new = np.ones(len(words.hash), bool)
+        new[1:] = (words.doc[1:] != words.doc[:-1]) | (words.line[1:] != words.line[:-1])
+        self.shingle, line = windows(words.hash, np.cumsum(new))
+        self.start = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, "int64")
+        self.size = np.diff(np.append(self.start, len(line)))
+        begin = np.flatnonzero(new)[line[self.start] - 1] if len(line) else np.empty(0, "int64")
+        self.doc, self.number = words.doc[begin], words.line[begin].astype("int32")
+        # 128 bits of the multiset of shingles, in any order
+        self.k1, self.k2 = (np.add.reduceat(mix(self.shingle ^ k), self.start).view("int64") if len(line) else np.empty(0, "int64") for k in (STEP, FACTOR))
 
     def sets(self, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """line, shingle and start of each line, distinct, by line and then rarity (or hash only)."""
-        rank = counted[self.shingle & np.uint64(CELLS - 1)] if counted is not None else 0
-        order = np.lexsort((self.shingle, rank + (self.line << 32)))
-        line, shingle = self.line[order], self.shingle[order]
+        """line, shingle and start of each line: distinct shingles by line, rarity and hash.
+
+        One sort of packed keys: the line, the capped count, and leading bits of the hash.
+        """
+        line = np.repeat(np.arange(len(self.doc), dtype="uint64"), self.size)
+        room = 64 - max(1, int(len(self.doc)).bit_length())
+        rank = np.minimum(counted[self.shingle & np.uint64(CELLS - 1)], (1 << 18) - 1).astype("uint64") if counted is not None else np.uint64(0)
+        packed = (line << np.uint64(room)) | (rank << np.uint64(room - 18)) | (self.shingle >> np.uint64(64 - room + 18))
+        order = np.argsort(packed)
+        line, shingle = line[order].astype("int64"), self.shingle[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (shingle[1:] != shingle[:-1])
         line, shingle = line[new], shingle[new]
         return line, shingle, np.searchsorted(line, np.arange(len(self.doc)))
 
-    @staticmethod
-    def keys(shingle: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each set, in any order."""
-        if not len(start):
-            return np.empty(0, "int64"), np.empty(0, "int64")
-        return tuple(np.add.reduceat(mix(shingle ^ k), start).view("int64") for k in (STEP, FACTOR))
-
 
 def named(documents: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text) and text of the rows that take part."""
@@ -87,14 +86,12 @@ def survey(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, "int64")
-        for batch in slices(batches):
-            lines = Lines(batch.column(2).to_pylist())
-            _, shingle, start = lines.sets()
-            counts += np.bincount((shingle & np.uint64(CELLS - 1)).astype("int64"), minlength=CELLS)
-            k1, k2 = Lines.keys(shingle, start)
-            n = np.diff(np.append(start, len(shingle)))
+        for batch in slices(batches, TOGETHER):
+            lines = Lines(batch.column(2))
+            counts += np.bincount((lines.shingle & np.uint64(CELLS - 1)).astype("int64"), minlength=CELLS)
             own = [batch.column(c).take(pa.array(lines.doc)) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lines.number), pa.array(k1), pa.array(k2), pa.array(n.astype("int32")), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            size = len(lines.doc)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lines.number), pa.array(lines.k1), pa.array(lines.k2), pa.array(lines.size.astype("int32")), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
         if counts.any():
             parts = [p.astype("<u4").tobytes() for p in np.minimum(counts, 2**32 - 1).reshape(PARTS, -1)]
             void = [pa.nulls(PARTS, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
@@ -146,11 +143,11 @@ def postings(rows: DataFrame, counted: np.ndarray, groups: int, similarity: floa
             packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (shingle, k1, n, place, often)]
             return pa.RecordBatch.from_arrays([pa.array(group[cuts]), *packed], names=["group", "shingle", "k1", "n", "place", "often"])
 
-        for batch in slices(batches):
-            line, shingle, start = (lines := Lines(batch.column(2).to_pylist())).sets(counted)
+        for batch in slices(batches, TOGETHER):
+            lines = Lines(batch.column(2))
             if not len(lines.doc):
                 continue
-            k1, _ = Lines.keys(shingle, start)
+            (line, shingle, start), k1 = lines.sets(counted), lines.k1
             n = np.diff(np.append(start, len(shingle)))
             place = np.arange(len(line)) - start[line]
             use = place < prefix_of(n, similarity)[line]
@@ -189,10 +186,9 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     few = by_doc.count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lines = Lines(batch.column(0).to_pylist())
-            _, shingle, start = lines.sets()
-            k1, _ = Lines.keys(shingle, start)
+        for batch in slices(batches, TOGETHER):
+            lines = Lines(batch.column(0))
+            (_, shingle, start), k1 = lines.sets(), lines.k1
             asked = [set(x) for x in batch.column(1).to_pylist()]
             ends = np.append(start[1:], len(shingle))
             use = [k for k, (d, number) in enumerate(zip(lines.doc, lines.number)) if number in asked[d]]
@@ -217,22 +213,42 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     listed = materialise(lists(postings(rows, total_counts(surveyed), groups, similarity)))
     firsts = materialise(sets.join(listed.select("k1").distinct(), "k1").select("k1", "first"))
     shingled = materialise(sets_of(rows, firsts.select("first.*")).groupBy("k1").agg(F.first("shingles").alias("shingles")))
-    full = listed.join(firsts, "k1").join(shingled, "k1")
-    left, right = full.alias("l"), full.alias("r")
+    placed = materialise(listed.join(firsts, "k1"))
+    similar = by_leader(placed, shingled, similarity)
+    similar = similar.union(by_any(placed.join(similar, "k1", "left_anti"), placed, shingled, similarity))
+    return copies.union(similar.join(firsts, "k1").select("first.*")).distinct()
+
+
+def fitting(similarity: float) -> tuple[Column, Column]:
+    """Of postings l and r: whether lengths and places allow the similarity; how much sets must share."""
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("l.n") + F.col("r.n")) - 1e-9)
-    # what the prefixes' places leave to be shared at most
     rest = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) + F.least("l.place", "r.place")
+    lengths = (F.col("r.n") >= similarity * F.col("l.n") - 1e-9) & (F.col("l.n") >= similarity * F.col("r.n") - 1e-9)
+    return lengths & (rest >= least), least
+
+
+def by_leader(placed: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """k1 of the sets that match the earliest set of one of their lists: at most a pair per posting."""
+    lead = placed.groupBy("shingle").agg(F.min(F.struct("first", "k1", "n", "place")).alias("lead")).select("shingle", "lead.*")
+    fits, least = fitting(similarity)
+    pairs = placed.alias("l").join(lead.alias("r"), "shingle").where((F.col("l.k1") != F.col("r.k1")) & (F.col("r.first") < F.col("l.first")) & fits)
+    pairs = pairs.groupBy(F.col("l.k1").alias("k1"), F.col("r.k1").alias("other")).agg(F.max(least).alias("least"))
+    both = pairs.join(shingled, "k1").join(shingled.toDF("other", "others"), "other")
+    return materialise(both.where(F.size(F.array_intersect("shingles", "others")) >= F.col("least")).select("k1").distinct())
+
+
+def by_any(open_: DataFrame, placed: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """k1 of the open sets that match any earlier set of their lists."""
+    asked = open_.groupBy("shingle").agg(F.max("first").alias("last"))
+    # a list's earliest set has been compared
+    lead = placed.groupBy("shingle").agg(F.min("first").alias("earliest"))
+    rivals = placed.join(asked, "shingle").join(lead, "shingle").where((F.col("first") < F.col("last")) & (F.col("first") > F.col("earliest"))).drop("last", "earliest")
+    lists_left = rivals.select("shingle").distinct()
+    left, right = open_.join(lists_left, "shingle").join(shingled, "k1").alias("l"), rivals.join(shingled, "k1").alias("r")
+    fits, least = fitting(similarity)
     shared = F.size(F.array_intersect("l.shingles", "r.shingles"))
-    matches = (
-        (F.col("l.shingle") == F.col("r.shingle"))
-        & (F.col("r.first") < F.col("l.first"))
-        & (F.col("r.n") >= similarity * F.col("l.n") - 1e-9)
-        & (F.col("l.n") >= similarity * F.col("r.n") - 1e-9)
-        & (rest >= least)
-        & (shared >= least)
-    )
-    similar = left.join(right, matches, "left_semi").select("first").distinct().select("first.*")
-    return copies.union(similar).distinct()
+    matches = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("r.first") < F.col("l.first")) & fits & (shared >= least)
+    return left.join(right, matches, "left_semi").select("k1").distinct()
 
 
 def dedup(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
