@@ -211,11 +211,16 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
         return copies
     groups = max(1, -(-int(amount) // GROUP))
     listed = materialise(lists(postings(rows, total_counts(surveyed), groups, similarity)))
-    firsts = materialise(sets.join(listed.select("k1").distinct(), "k1").select("k1", "first"))
-    shingled = materialise(sets_of(rows, firsts.select("first.*")).groupBy("k1").agg(F.first("shingles").alias("shingles")))
-    placed = materialise(listed.join(firsts, "k1"))
+    keys = materialise(listed.select("k1").distinct())
+    few = keys.count() <= 10 * BROADCAST_ROWS
+    firsts = materialise(lines.join(F.broadcast(keys) if few else keys, "k1", "left_semi").groupBy("k1").agg(F.min(place).alias("first")))
+    shingled = materialise(sets_of(rows, firsts.select("first.*")))
+    placed = listed.join(firsts, "k1")
+    lead = placed.groupBy("shingle").agg(F.min(F.struct("first", "k1", "n", "place")).alias("lead"), F.count("*").alias("members"))
+    placed = materialise(placed.join(lead, "shingle").where("k1 != lead.k1"))  # what isn't the earliest of its list
     similar = by_leader(placed, shingled, similarity)
-    similar = similar.union(by_any(placed.join(similar, "k1", "left_anti"), placed, shingled, similarity))
+    several = placed.where("members > 2").drop("lead", "members")
+    similar = similar.union(by_any(several.join(similar, "k1", "left_anti"), several, shingled, similarity))
     return copies.union(similar.join(firsts, "k1").select("first.*")).distinct()
 
 
@@ -229,22 +234,20 @@ def fitting(similarity: float) -> tuple[Column, Column]:
 
 def by_leader(placed: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
     """k1 of the sets that match the earliest set of one of their lists: at most a pair per posting."""
-    lead = placed.groupBy("shingle").agg(F.min(F.struct("first", "k1", "n", "place")).alias("lead")).select("shingle", "lead.*")
     fits, least = fitting(similarity)
-    pairs = placed.alias("l").join(lead.alias("r"), "shingle").where((F.col("l.k1") != F.col("r.k1")) & (F.col("r.first") < F.col("l.first")) & fits)
-    pairs = pairs.groupBy(F.col("l.k1").alias("k1"), F.col("r.k1").alias("other")).agg(F.max(least).alias("least"))
-    both = pairs.join(shingled, "k1").join(shingled.toDF("other", "others"), "other")
+    pairs = placed.select(F.struct("n", "place", "k1").alias("l"), F.col("lead").alias("r")).where(fits)
+    pairs = materialise(pairs.groupBy(F.col("l.k1").alias("k1"), F.col("r.k1").alias("other")).agg(F.max(least).alias("least")))
+    leads = materialise(shingled.toDF("other", "others").join(pairs.select("other").distinct(), "other", "left_semi"))
+    both = pairs.join(shingled, "k1").join(F.broadcast(leads) if leads.count() <= BROADCAST_ROWS // 4 else leads, "other")
     return materialise(both.where(F.size(F.array_intersect("shingles", "others")) >= F.col("least")).select("k1").distinct())
 
 
-def by_any(open_: DataFrame, placed: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
-    """k1 of the open sets that match any earlier set of their lists."""
+def by_any(open_: DataFrame, several: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """k1 of the open sets that match any earlier set of their lists but the earliest."""
     asked = open_.groupBy("shingle").agg(F.max("first").alias("last"))
-    # a list's earliest set has been compared
-    lead = placed.groupBy("shingle").agg(F.min("first").alias("earliest"))
-    rivals = placed.join(asked, "shingle").join(lead, "shingle").where((F.col("first") < F.col("last")) & (F.col("first") > F.col("earliest"))).drop("last", "earliest")
-    lists_left = rivals.select("shingle").distinct()
-    left, right = open_.join(lists_left, "shingle").join(shingled, "k1").alias("l"), rivals.join(shingled, "k1").alias("r")
+    rivals = several.join(asked, "shingle").where(F.col("first") < F.col("last")).drop("last")
+    left = open_.join(rivals.groupBy("shingle").agg(F.min("first").alias("second")), "shingle").where(F.col("first") > F.col("second")).drop("second")
+    left, right = left.join(shingled, "k1").alias("l"), rivals.join(shingled, "k1").alias("r")
     fits, least = fitting(similarity)
     shared = F.size(F.array_intersect("l.shingles", "r.shingles"))
     matches = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("r.first") < F.col("l.first")) & fits & (shared >= least)

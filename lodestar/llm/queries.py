@@ -59,4 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": sql.OP5}
+    return {
+        "op1_topk": sql.OP1,
+        "op5_mixing": sql.OP5,
+        "op6_quality": sql.quality(quality.FLOORS, quality.STRETCH, quality.QUANTILE, quality.MIN_GROUP),
+        "op9_linededup": sql.OP9,
+    }

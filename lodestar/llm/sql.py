@@ -28,3 +28,74 @@ select doc_id, size, source_size, target, taken, case when taken > 0 then round(
 from mixed
 """
 )
+
+OP1 = """
+with vectors as (
+    select vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
+    where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scores)
+select * from ranked where rank <= 20
+"""
+
+#: The four measures that the sketches hold, per mille or in tenths.
+RATES = {
+    "symbol": "1000 * n_symbols // greatest(word_chars, 1)",
+    "dup_line": "1000 * n_dup_lines // greatest(n_lines, 1)",
+    "repeat": "1000 * n_repeat_words // greatest(n_words, 1)",
+    "word_len": "10 * word_chars // greatest(n_words, 1)",
+}
+
+
+def quality(floors: dict[str, int], stretch: int, quantile: float, least: int) -> str:
+    """Measures, histogram sketches by language and source, fences and the verdict."""
+    rules = " union all ".join(f"select lang, source, '{k}' as rule, {v} as v from measured" for k, v in RATES.items())
+    floor = "case rule " + " ".join(f"when '{k}' then {v}" for k, v in floors.items()) + " end"
+    fences = ", ".join(f"max(fence) filter (rule = '{k}')::bigint as {k}_fence" for k in floors)
+    inside = " and ".join(f"{v} <= {k}_fence" for k, v in RATES.items())
+    top = "case when b < 64 then b else ((b - 64) % 32 + 33 << ((b - 64) // 32 + 1)) - 1 end"
+    return rf"""
+with docs as (
+    select row_number() over () as id, doc_id, lang, source, coalesce(text, '') as t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+places as (select id, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) >= 5),
+grams as (select id, i, count(*) over (partition by id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) as n from places),
+repeats as (select id, count(distinct i + k) as n from grams, range(0, 5) r(k) where n > 1 group by id),
+measured as (
+    select docs.id, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+        coalesce(repeats.n, 0) as n_repeat_words from docs left join repeats using (id)),
+rated as ({rules}),
+bins as (select lang, source, rule, case when v < 64 then v else 64 + (length(bin(v)) - 7) * 32 + (v >> (length(bin(v)) - 6)) - 32 end as b, count(*) as n from rated group by all),
+run as (select *, sum(n) over (partition by lang, source, rule order by b) as upto, sum(n) over (partition by lang, source, rule) as total from bins),
+own as (select lang, source, rule, min(b) filter (upto * 1000 >= total * {round(quantile * 1000)}) as b, max(total) as total from run group by all),
+pooled as (select rule, b, sum(n) as n from bins group by all),
+pooled_run as (select *, sum(n) over (partition by rule order by b) as upto, sum(n) over (partition by rule) as total from pooled),
+merged as (select rule, min(b) filter (upto * 1000 >= total * {round(quantile * 1000)}) as b from pooled_run group by all),
+limits as (
+    select lang, source, rule, greatest({floor}, {stretch} * ({top})) as fence
+    from (select own.lang, own.source, own.rule, case when own.total < {least} then merged.b else own.b end as b from own join merged using (rule))),
+wide as (select lang, source, {fences} from limits group by all)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+    n_repeat_words::bigint as n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and {inside} as kept, {", ".join(f"{k}_fence" for k in floors)}
+from measured m join wide x on m.lang is not distinct from x.lang and m.source is not distinct from x.source
+"""
+
+
+OP9 = r"""
+with lines as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k from documents where doc_id is not null),
+worded as (select doc_id, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from lines),
+sets as (select doc_id, k, list_distinct([array_to_string(w[i:i + 4], chr(0)) for i in range(1, len(w) - 3)]) as s from worded where len(w) >= 5),
+firsts as (select s, min((doc_id, k)) as first, row_number() over () as id from (select list_sort(s) as s, doc_id, k from sets) group by s),
+members as (select f.id, m.doc_id, m.k, f.first from (select list_sort(s) as s, doc_id, k from sets) m join firsts f using (s)),
+grams as (select id, len(s) as n, first, unnest(s) as g from firsts),
+shared as (select b.id from grams a join grams b on a.g = b.g and a.first < b.first group by a.id, b.id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+gone as (select doc_id, k from members where (doc_id, k) <> first or id in (select id from shared)),
+kept as (select l.doc_id, count(*) as n_lines, count(g.k) as n_removed, coalesce(string_agg(l.k::varchar, ',' order by l.k) filter (g.k is not null), '') as removed,
+    coalesce(string_agg(l.line, chr(10) order by l.k) filter (g.k is null), '') as text from lines l left join gone g on g.doc_id = l.doc_id and g.k = l.k group by l.doc_id)
+select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, removed, text from kept
+"""
