@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 #: and one of 0.5 is proposed with a chance of a fifth.
 BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
+#: Points that are drawn in a step, if so many processes or fewer go on.
+POINTS_AT_ONCE = 8192
 #: Documents whose points are drawn together.
 TOGETHER = 64
 #: Registers of the one-bit sketches that pairs across classes are first compared by, and how far below
@@ -60,28 +62,35 @@ def points(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int,
     return first.reshape(n, registers)
 
 
-def _draw(first: np.ndarray, state: np.ndarray, owner: np.ndarray, registers: int, low: np.ndarray | None, weight: np.ndarray) -> None:
-    """Points of every process in turn, in time order, until none can be a register's first."""
-    base, time, rest = owner * registers, np.zeros(len(state)), np.uint64(registers - 1)
-    rate = 1.0 / registers if low is None else 1.0 / (registers * low)
-    while len(state):
-        state = mix(state + STEP)
+def _draw(first: np.ndarray, seed: np.ndarray, owner: np.ndarray, registers: int, low: np.ndarray | None, weight: np.ndarray) -> None:
+    """Points of every process in turn, in time order, until none can be a register's first.
+
+    The fewer processes go on, the more points of each are drawn at once.
+    """
+    base, time, rest = owner * registers, np.zeros(len(seed)), np.uint64(registers - 1)
+    rate = np.full(1, 1.0 / registers) if low is None else 1.0 / (registers * low)
+    drawn = 1
+    while len(seed):
+        many = max(1, min(64, POINTS_AT_ONCE // len(seed)))
+        state = mix(seed[:, None] + np.arange(drawn, drawn + many, dtype="uint64")[None, :] * STEP)
+        drawn += many
         gap = (state >> np.uint64(11)).astype("float64")  # the other bits choose the register
         gap *= -(2.0**-53)
         np.log1p(gap, out=gap)
-        gap *= rate
-        time = time - gap
-        at = base + (state & rest).astype("int64")
+        gap *= -rate[:, None]
+        gap[:, 0] += time
+        times = np.cumsum(gap, axis=1, out=gap) if many > 1 else gap
+        at = base[:, None] + (state & rest).astype("int64")
         if low is None:
-            np.minimum.at(first, at, time)
+            np.minimum.at(first, at.ravel(), times.ravel())
         else:
-            level = low + np.ceil(((mix(state ^ STEP) >> np.uint64(40)).astype("float64") + 1) * 2.0**-24 * low)
-            use = level <= weight
-            np.minimum.at(first, at[use], time[use])
+            level = low[:, None] + np.ceil(((mix(state ^ STEP) >> np.uint64(40)).astype("float64") + 1) * 2.0**-24 * low[:, None])
+            use = level <= weight[:, None]
+            np.minimum.at(first, at[use], times[use])
+        time = times[:, -1]
         on = time < first.reshape(-1, registers).max(axis=1)[base // registers]
-        left = np.count_nonzero(on)
-        if left < len(state):
-            state, time, base = state[on], time[on], base[on]
+        if not on.all():
+            seed, time, base = seed[on], time[on], base[on]
             if low is not None:
                 low, weight, rate = low[on], weight[on], rate[on]
 
