@@ -5,39 +5,23 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.plans.workers import map_arrow
+
+__all__ = ["BROADCAST_ROWS", "attach", "by_text", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
+
 #: Rows of a small table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 512
 
 
-#: SparkContexts, by application, whose workers have been sent this package.
-SHIPPED: set[str] = set()
-
-
-def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
-    """mapInArrow, after sending this package to the executors once."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar.zip"
-        with zipfile.ZipFile(archive, "w") as file:
-            for path in sorted(root.rglob("*.py")):
-                file.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        SHIPPED.add(context.applicationId)
-    return df.mapInArrow(work, schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from lodestar.llm.common import hash_order, map_arrow, slices
 TRAIN_PAGES, TRAIN_CHARS, ROUNDS = 400, 50_000, 4
 #: Weights before training; any other tag starts at ``OTHER``.
 PRIOR = {"word": 1.0, "linked": 0.3, "a": -0.5, "/a": 0.0, "p": -0.1, "/p": -0.1, "br": -0.1, "b": -0.1, "/b": -0.1, "li": -1.0, "ul": -1.0, "div": -2.0, "/div": -2.0, "td": -1.0, "tr": -1.0, "table": -2.0, "section": -2.0, "/section": -2.0, "body": -5.0, "/body": -5.0}
-OTHER, BOILERPLATE = -0.5, -5.0
+OTHER, BOILERPLATE = -0.5, -2.0
 HIGHEST_TAG = -0.01
 
 UNIT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL | re.IGNORECASE)

@@ -117,7 +117,7 @@ def evaluate(best: Best, at: int, queries: np.ndarray, q_table: np.ndarray, ids:
     """One block of queries, numbered from ``at``, against one block of candidates."""
     limit = limits((queries**2).sum(1), q_table, (vectors**2).sum(1), v_table)
     own = best.ids[at : at + len(queries), None] == ids[None, :]
-    limit[own] = -np.inf
+    limit[own] = np.nan  # neither its own candidate nor, later, twice one
     while True:
         open_ = limit >= best.floor[at : at + len(queries), None]
         counts = open_.sum(1)
@@ -127,14 +127,14 @@ def evaluate(best: Best, at: int, queries: np.ndarray, q_table: np.ndarray, ids:
         if counts[rows].mean() > len(ids) / 8 or counts.max() <= ROUND:  # few fall, or few are left: all at once
             q, c = np.nonzero(open_)
             score = (queries[rows] @ vectors.T)[np.searchsorted(rows, q), c] if len(q) > 4 * len(ids) else np.einsum("ij,ij->i", queries[q], vectors[c])
-            limit[open_] = -np.inf
+            limit[open_] = np.nan
         else:  # the highest limits first
-            top = np.argpartition(-limit[rows], ROUND - 1, axis=1)[:, :ROUND]
+            top = np.argpartition(-limit[rows], ROUND - 1, axis=1)[:, :ROUND]  # NaN sorts last
             q, c = np.repeat(rows, ROUND), top.ravel()
             use = open_[q, c]
             q, c = q[use], c[use]
             score = np.einsum("ij,ij->i", queries[q], vectors[c])
-            limit[q, c] = -np.inf
+            limit[q, c] = np.nan
         enter = score >= best.floor[q + at]
         best.add(q[enter] + at, ids[c[enter]], score[enter].astype("int64"))
 
