@@ -60,8 +60,8 @@ def hash_order(key: Column) -> Column:
 
 
 def prefix_digits(rows: int) -> int:
-    """Hex digits of an md5 that split ``rows`` into about sqrt(rows) groups, 2,000 rows each at most at first."""
-    return max(1, math.ceil(math.log(max(rows, 1) / min(2000, max(64, math.isqrt(max(rows, 1)))) + 1, 16))) if rows < 4_000_000 else math.ceil(math.log(math.isqrt(rows), 16))
+    """Hex digits of an md5 that split ``rows`` into about sqrt(rows) groups of sqrt(rows)."""
+    return max(1, math.ceil(math.log(max(rows, 1), 16) / 2))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:

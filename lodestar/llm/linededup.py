@@ -2,8 +2,8 @@
 
 A line of five or more words is the set of its five-word shingles. Shingles are ordered by rarity,
 as counted over all lines in a table of fixed size; any order makes the join exact, this one keeps
-posting lists short. Two lines of Jaccard similarity t or more share a shingle of their prefixes, the
-n - ceil(t * n) + 1 rarest; lengths and places in the prefix rule out most that do, and the sets are
+posting lists short. Two lines of Jaccard similarity t or more share two shingles of their prefixes, the
+n - ceil(t * n) + 2 rarest; lengths and places in the prefix rule out most that do, and the sets are
 compared for the rest. A line goes if an earlier line (by doc_id, then line number) matches it.
 
 Lines of equal sets are found by one aggregation, so copies are never paired. Postings travel packed
@@ -30,6 +30,8 @@ from lodestar.llm.common import BROADCAST_ROWS, map_arrow, materialise, slices
 from lodestar.llm.shingles import FACTOR, STEP, Words, mix, windows
 
 SIMILARITY = 0.8
+#: Shingles of their prefixes that similar sets share at least; one alone is often chance.
+SHARED = 2
 #: Cells of the table that counts shingles, and in how many parts it travels.
 CELLS, PARTS = 1 << 18, 16
 #: Documents whose lines are looked at together.
@@ -39,7 +41,9 @@ GROUP, GATHERED = 400_000, 1_000_000
 
 
 def prefix_of(n: np.ndarray, similarity: float) -> np.ndarray:
-    return n - np.ceil(similarity * n - 1e-9).astype("int64") + 1
+    """So many of the rarest shingles that similar sets share ``SHARED`` of them, or all they must share at all."""
+    least = np.ceil(similarity * n - 1e-9).astype("int64")
+    return n - least + np.minimum(SHARED, least)
 
 
 class Lines:
@@ -206,14 +210,16 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     place = F.struct("doc_id", "version", "line")
     sets = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"))
     copies = lines.join(sets.where("times > 1").select("k1", "k2", "first"), ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "version", "line")
-    amount = lines.agg(F.sum(F.col("n") - F.ceil(similarity * F.col("n")) + 1)).first()[0] or 0
+    amount = lines.agg(F.sum(F.col("n") - F.ceil(similarity * F.col("n")) + SHARED)).first()[0] or 0
     if not amount:
         return copies
     groups = max(1, -(-int(amount) // GROUP))
     listed = materialise(lists(postings(rows, total_counts(surveyed), groups, similarity)))
-    keys = materialise(listed.select("k1").distinct())
-    few = keys.count() <= 10 * BROADCAST_ROWS
-    firsts = materialise(lines.join(F.broadcast(keys) if few else keys, "k1", "left_semi").groupBy("k1").agg(F.min(place).alias("first")))
+    least = F.least(F.lit(SHARED), F.ceil(similarity * F.col("n") - 1e-9))
+    keys = materialise(listed.groupBy("k1", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("k1").distinct())
+    keys = F.broadcast(keys) if keys.count() <= 10 * BROADCAST_ROWS else keys
+    listed = listed.join(keys, "k1", "left_semi")
+    firsts = materialise(lines.join(keys, "k1", "left_semi").groupBy("k1").agg(F.min(place).alias("first")))
     shingled = materialise(sets_of(rows, firsts.select("first.*")))
     placed = listed.join(firsts, "k1")
     lead = placed.groupBy("shingle").agg(F.min(F.struct("first", "k1", "n", "place")).alias("lead"), F.count("*").alias("members"))
