@@ -18,10 +18,11 @@ from lodestar.llm.common import attach, materialise
 
 #: A fence never falls below these: per mille of symbols per word character, of duplicate
 #: lines per line, of repeated words per word, and ten times the mean word length.
-FLOORS = {"symbol": 200, "dup_line": 300, "repeat": 150, "word_len": 150}
+FLOORS = {"symbol": 50, "dup_line": 500, "repeat": 200, "word_len": 150}
 #: A fence is this many times the quantile of its group, if that is more than the floor.
-STRETCH = 2
-QUANTILE = 0.95
+STRETCH = 3
+#: Of a group in which fewer than a quarter are bad, this quantile shows what is usual there.
+QUANTILE = 0.75
 #: Groups of fewer documents use the fences of the merged sketch of all groups.
 MIN_GROUP = 30
 
