@@ -231,9 +231,13 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 
 def fitting(similarity: float) -> tuple[Column, Column]:
-    """Of postings l and r: whether lengths and places allow the similarity; how much sets must share."""
+    """Of postings l and r: whether lengths and places allow the similarity; how much sets must share.
+
+    At the first shingle that two sets share, what follows in both must suffice, so a pair that matches
+    passes there; that it may not pass at later ones does no harm.
+    """
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("l.n") + F.col("r.n")) - 1e-9)
-    rest = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) + F.least("l.place", "r.place")
+    rest = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
     lengths = (F.col("r.n") >= similarity * F.col("l.n") - 1e-9) & (F.col("l.n") >= similarity * F.col("r.n") - 1e-9)
     return lengths & (rest >= least), least
 
@@ -252,12 +256,14 @@ def by_any(open_: DataFrame, several: DataFrame, shingled: DataFrame, similarity
     """k1 of the open sets that match any earlier set of their lists but the earliest."""
     asked = open_.groupBy("shingle").agg(F.max("first").alias("last"))
     rivals = several.join(asked, "shingle").where(F.col("first") < F.col("last")).drop("last")
-    left = open_.join(rivals.groupBy("shingle").agg(F.min("first").alias("second")), "shingle").where(F.col("first") > F.col("second")).drop("second")
-    left, right = left.join(shingled, "k1").alias("l"), rivals.join(shingled, "k1").alias("r")
     fits, least = fitting(similarity)
+    near = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("r.first") < F.col("l.first")) & fits
+    # without the sets first: which postings have a partner at all
+    left = materialise(open_.alias("l").join(rivals.alias("r"), near, "left_semi"))
+    right = rivals.alias("r").join(left.alias("l"), near, "left_semi")
+    left, right = left.join(shingled, "k1").alias("l"), right.join(shingled, "k1").alias("r")
     shared = F.size(F.array_intersect("l.shingles", "r.shingles"))
-    matches = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("r.first") < F.col("l.first")) & fits & (shared >= least)
-    return left.join(right, matches, "left_semi").select("k1").distinct()
+    return left.join(right, near & (shared >= least), "left_semi").select("k1").distinct()
 
 
 def dedup(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
