@@ -166,8 +166,8 @@ def postings(rows: DataFrame, counted: np.ndarray, groups: int, similarity: floa
     return map_arrow(rows, run, "group int, shingle binary, k1 binary, n binary, place binary, often binary")
 
 
-def lists(packed: DataFrame) -> DataFrame:
-    """shingle, k1, n, place of the posting lists of two different sets or more."""
+def lists(packed: DataFrame, similarity: float) -> DataFrame:
+    """shingle, k1, n, place of the posting lists of two different sets or more; of two, only if they may match."""
 
     def keep(table: pa.Table) -> pa.Table:
         types = {"shingle": "uint64", "k1": "int64", "n": "int32", "place": "int32", "often": "bool"}
@@ -178,7 +178,15 @@ def lists(packed: DataFrame) -> DataFrame:
         new[1:] = (x["shingle"][1:] != x["shingle"][:-1]) | (x["k1"][1:] != x["k1"][:-1])
         x = {c: v[new] for c, v in x.items()}
         same = x["shingle"][1:] == x["shingle"][:-1]
-        use = x["often"] | np.append(same, False) | np.append(False, same)
+        begin = np.flatnonzero(np.append(True, ~same)) if len(same) or len(x["k1"]) else np.empty(0, "int64")
+        members = np.diff(np.append(begin, len(x["k1"])))
+        two = begin[members == 2]
+        (n, m), (i, j) = ((x[c][two].astype("int64"), x[c][two + 1].astype("int64")) for c in ("n", "place"))
+        least = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        fits = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - i, m - j) + np.minimum(i, j) >= least)
+        use = np.repeat(members > 1, members)
+        use[two], use[two + 1] = fits, fits
+        use |= x["often"]
         return pa.table({"shingle": x["shingle"][use].view("int64"), "k1": x["k1"][use], "n": x["n"][use], "place": x["place"][use]})
 
     return packed.groupBy("group").applyInArrow(keep, "shingle long, k1 long, n int, place int")
@@ -214,7 +222,7 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     if not amount:
         return copies
     groups = max(1, -(-int(amount) // GROUP))
-    listed = materialise(lists(postings(rows, total_counts(surveyed), groups, similarity)))
+    listed = materialise(lists(postings(rows, total_counts(surveyed), groups, similarity), similarity))
     least = F.least(F.lit(SHARED), F.ceil(similarity * F.col("n") - 1e-9))
     keys = materialise(listed.groupBy("k1", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("k1").distinct())
     keys = F.broadcast(keys) if keys.count() <= 10 * BROADCAST_ROWS else keys
