@@ -11,7 +11,9 @@ and only lists of two different sets or more are kept. A set is first compared w
 each of its lists; for the others, whether an earlier match exists is a semi join, which gives a row
 per set at most, however large a family of similar lines is.
 
-Lines of fewer words, null texts and rows of a null id stay as they are. Rows that repeat both id and
+Lines of one to four words are one shingle of all their words, so only equal ones match. They take part
+where ``short`` is set, as in the pipeline; the SQL of op9_linededup leaves them out, and so does the
+query. Lines without words, null texts and rows of a null id stay as they are. Rows that repeat both id and
 text are the same lines, and keep or lose them alike. An empty table gives an empty result. Equality
 of shingles is that of 64-bit hashes. Words are split at ASCII white space.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import BROADCAST_ROWS, map_arrow, materialise, slices
-from lodestar.llm.shingles import FACTOR, STEP, Words, mix, windows
+from lodestar.llm.shingles import FACTOR, SIZE, STEP, Words, mix, windows
 
 SIMILARITY = 0.8
 #: Shingles of their prefixes that similar sets share at least; one alone is often chance.
@@ -49,8 +51,8 @@ def prefix_of(n: np.ndarray, similarity: float) -> np.ndarray:
 class Lines:
     """The lines with shingles of a text column: which row and number, their shingles and sets' keys."""
 
-    def __init__(self, texts: pa.Array):
-        words = Words(texts)
+    def __init__(self, texts: pa.Array, words: Words | None = None):
+        words = words or Words(texts)
         new = np.ones(len(words.hash), bool)
         new[1:] = (words.doc[1:] != words.doc[:-1]) | (words.line[1:] != words.line[:-1])
         self.shingle, line = windows(words.hash, np.cumsum(new))
@@ -78,24 +80,44 @@ class Lines:
         return line, shingle, np.searchsorted(line, np.arange(len(self.doc)))
 
 
+def short_lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and the set's two keys of the lines of fewer words than a shingle has, as ``shingles.bags`` hashes them."""
+    new = np.ones(len(words.hash), bool)
+    new[1:] = (words.doc[1:] != words.doc[:-1]) | (words.line[1:] != words.line[:-1])
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(new)))
+    begin, count = begin[count < SIZE], count[count < SIZE]
+    found = words.hash[begin]
+    for k in range(1, SIZE - 1):
+        more = count > k
+        found[more] = found[more] * FACTOR + words.hash[begin[more] + k]
+    found = mix(found + count.astype("uint64"))
+    return words.doc[begin], words.line[begin].astype("int32"), mix(found ^ STEP).view("int64"), mix(found ^ FACTOR).view("int64")
+
+
 def named(documents: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text) and text of the rows that take part."""
     text = F.col("text").cast("string")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id is not null and text is not null")
 
 
-def survey(rows: DataFrame) -> DataFrame:
-    """Two kinds of rows: for each line its set's key and size; and the counts of shingles, in parts."""
+def survey(rows: DataFrame, short: bool = False) -> DataFrame:
+    """Two kinds of rows: for each line its set's key and size (0 of a short line); and the counts of shingles, in parts."""
     names = ["doc_id", "version", "line", "k1", "k2", "n", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, "int64")
         for batch in slices(batches, TOGETHER):
-            lines = Lines(batch.column(2))
+            words = Words(batch.column(2))
+            lines = Lines(batch.column(2), words)
             counts += np.bincount((lines.shingle & np.uint64(CELLS - 1)).astype("int64"), minlength=CELLS)
-            own = [batch.column(c).take(pa.array(lines.doc)) for c in (0, 1)]
-            size = len(lines.doc)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lines.number), pa.array(lines.k1), pa.array(lines.k2), pa.array(lines.size.astype("int32")), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
+            found = [(lines.doc, lines.number, lines.k1, lines.k2, lines.size.astype("int32"))]
+            if short:
+                doc, number, k1, k2 = short_lines(words)
+                found.append((doc, number, k1, k2, np.zeros(len(doc), "int32")))
+            doc, *rest = (np.concatenate(x) for x in zip(*found))
+            own = [batch.column(c).take(pa.array(doc)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, rest), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary())], names=names)
         if counts.any():
             parts = [p.astype("<u4").tobytes() for p in np.minimum(counts, 2**32 - 1).reshape(PARTS, -1)]
             void = [pa.nulls(PARTS, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
@@ -210,15 +232,15 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows.join(F.broadcast(by_doc) if few else by_doc, ["doc_id", "version"]).select("text", "lines"), run, "k1 long, shingles array<long>")
 
 
-def later_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, version, line of every line that an earlier line matches."""
+def later_lines(documents: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+    """doc_id, version, line of every line that an earlier line matches; lines of one to four words only if ``short``."""
     rows = named(documents)
-    surveyed = materialise(survey(rows))
+    surveyed = materialise(survey(rows, short))
     lines = surveyed.where("part is null").select("doc_id", "version", "line", "k1", "k2", "n")
     place = F.struct("doc_id", "version", "line")
     sets = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"))
     copies = lines.join(sets.where("times > 1").select("k1", "k2", "first"), ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "version", "line")
-    amount = lines.agg(F.sum(F.col("n") - F.ceil(similarity * F.col("n")) + SHARED)).first()[0] or 0
+    amount = lines.where("n > 0").agg(F.sum(F.col("n") - F.ceil(similarity * F.col("n")) + SHARED)).first()[0] or 0
     if not amount:
         return copies
     groups = max(1, -(-int(amount) // GROUP))
@@ -274,10 +296,10 @@ def by_any(open_: DataFrame, several: DataFrame, shingled: DataFrame, similarity
     return left.join(right, near & (shared >= least), "left_semi").select("k1").distinct()
 
 
-def dedup(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup(documents: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """All rows and columns of documents; text without the lines that go, and the columns
     __lines (of the text) and __removed (their numbers, in order)."""
-    gone = materialise(later_lines(documents, similarity).groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("line")).alias("__removed")))
+    gone = materialise(later_lines(documents, similarity, short).groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("line")).alias("__removed")))
     few = gone.count() <= BROADCAST_ROWS
     text = F.col("text").cast("string")
     same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__version"))
@@ -294,4 +316,5 @@ def report(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def without_repeated_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    return dedup(documents, similarity).drop("__lines", "__removed")
+    """All rows and columns; text without the lines that an earlier line matches, short lines too."""
+    return dedup(documents, similarity, short=True).drop("__lines", "__removed")

@@ -299,6 +299,14 @@ def test_lines_of_a_family(spark):
     assert gone == want
 
 
+def test_short_lines_of_the_pipeline(spark):
+    rows = [(1, "Read more\nRead  more\nBy To.\n\none two three four"), (2, "more Read\nRead more\n\none two three four five\none two three four"), (3, "Read"), (4, None), (5, " Read\t\nRead more Read"), (None, "Read more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in linededup.without_repeated_lines(docs).collect()}
+    assert found == {1: "Read more\nBy To.\n\none two three four", 2: "more Read\n\none two three four five", 3: "Read", 4: None, 5: "Read more Read", None: "Read more"}
+    assert {r.doc_id: r.n_removed for r in linededup.report(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, None: 0}  # as the SQL has it
+
+
 # 10
 def jaccard(a, b):
     x, y = collections.Counter(a.tolist()), collections.Counter(b.tolist())
