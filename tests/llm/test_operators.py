@@ -117,6 +117,22 @@ def test_random_strings():
         assert secrets.is_random(run, encoding, secrets.RATIO) == random, run
 
 
+def test_random_strings_without_digits_or_after_numbers():
+    rng, encoding = np.random.default_rng(8), tokens.ranked(queries.VOCABULARY)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def caught(alphabet, size, lead=""):
+        return np.mean([secrets.is_random(lead + "".join(rng.choice(list(alphabet), size)), encoding, secrets.RATIO) for _ in range(300)])
+
+    assert caught(low + digits, 32, "1234567890-") > 0.99 and caught(low + digits, 32, "2024-") > 0.99
+    assert caught(low + low.upper(), 20) > 0.99 and caught(low + low.upper(), 32) > 0.99
+    assert caught(low, 16) > 0.8 and caught(low.upper(), 24) > 0.9
+    for run in ("2024-01-15-some-title-of-post", "v1_2_3-rc1-build7", "20240115-123045-abcd", "1-2-3-14-g2414721", "getElementByIdentifier", "Donaudampfschifffahrtsgesellschaft", "AUTHENTICATION_FAILURE", "state-of-the-art-things"):
+        assert not secrets.is_random(run, encoding, secrets.RATIO), run
+    key = "qWvKzXbTnRpLmYdGhJcF"
+    assert secrets.random_spans(f"no digits {key} here", [], encoding, secrets.RATIO) == [(10, 3, 30)]
+
+
 # 4
 def brute_pii(text):
     found = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
