@@ -80,11 +80,16 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def limits(q2: np.ndarray, q_table: np.ndarray, v2: np.ndarray, v_table: np.ndarray) -> np.ndarray:
-    """The most that each inner product can be, a little above for the roots' rounding."""
-    gap = np.zeros((len(q2), len(v2)), "float32")
+    """The most that each inner product can be, a little above for the roots' rounding.
+
+    A distance is wrong in proportion to the pivot's own norm too, which may be far above the vectors'.
+    """
+    gap = np.zeros((len(q2), len(v2)))
     for p in range(q_table.shape[1]):
-        np.maximum(gap, np.abs(q_table[:, p, None].astype("float32") - v_table[None, :, p].astype("float32")), out=gap)
-    total = (q2[:, None] + v2[None, :]).astype("float32")
+        own = np.abs(q_table[:, p, None] - v_table[None, :, p])
+        own -= 1e-10 * q_table[:, p, None]
+        np.maximum(gap, own, out=gap)
+    total = q2[:, None] + v2[None, :]
     gap = np.maximum(gap - 1e-5 * (1 + np.sqrt(total)), 0)
     return (total - gap * gap) / 2 + 1e-5 * total + 1
 

@@ -58,6 +58,17 @@ def test_limits_hold():
     assert (limit >= q @ v.T).all()
 
 
+@pytest.mark.parametrize("times", [1e5, 1e6, 1e8, 1e12])
+def test_limits_hold_with_a_far_pivot(times):
+    rng = np.random.default_rng(9)
+    center = rng.integers(-16, 17, 16).astype("float64")
+    v = center + rng.integers(-1, 2, (200, 16))
+    pivots = np.concatenate([np.floor(center[None, ::-1] * times), v[:3]])
+    tables = topk.distances(v, pivots)
+    limit = topk.limits((v**2).sum(1), tables, (v**2).sum(1), tables)
+    assert (limit >= v @ v.T).all()
+
+
 # 2
 def test_html_articles(spark, small):
     pages = table(spark, small, "pages")
