@@ -14,8 +14,9 @@ only those go on whose longer sketches agree nearly enough. Pairs are verified b
 Jaccard overlap of 64-bit shingle hashes.
 
 Words are split at ASCII white space. Texts of equal shingles are one text. Texts of fewer than five words are one shingle; texts without
-words and nulls have no class but their own. Rows of a null id are kept and have a null class; rows
-that share an id share a class. An empty table gives an empty result.
+words and nulls have no class but their own. Rows of a null id are kept and have a null class.
+Rows that share an id are judged by their texts: only rows of the same id and text are one. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -218,19 +219,46 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return signed.select("doc_id", "key").join(own, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
+def apart(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """All rows and columns of documents and __own, an id of each id's text; and whether any id has several texts.
+
+    It is the doc_id, or a hash of id and text where the id has several.
+    """
+    doc, version = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    texts = documents.select(doc.alias("__doc"), version.alias("v")).where("__doc is not null")
+    several = materialise(texts.groupBy("__doc").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least != most").select("__doc"))
+    many = several.count()
+    if not many:
+        return documents.withColumn("__own", doc), False
+    joined = documents.join(F.broadcast(several) if many <= BROADCAST_ROWS else several, doc == F.col("__doc"), "left")
+    return joined.withColumn("__own", F.when(F.col("__doc").isNull(), doc).otherwise(F.xxhash64(doc, version))).drop("__doc"), True
+
+
+def own_classes(rows: DataFrame, several: bool, similarity: float) -> DataFrame:
+    """__own, class_id (the least doc_id of its class) and first (its __own) of every text with an id and words."""
+    found = classes(rows.select(F.col("__own").alias("doc_id"), "text"), similarity).withColumnRenamed("doc_id", "__own")
+    if not several:
+        return found.withColumn("first", F.col("class_id"))
+    named = materialise(found.join(rows.select("__own", F.col("doc_id").cast("long").alias("doc_id")).distinct(), "__own"))
+    least = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "__own")).alias("l"))
+    return named.join(least, "class_id").select("__own", F.col("l.doc_id").alias("class_id"), F.col("l.__own").alias("first"))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and kept of every row: the row whose id is the class's stays."""
-    found = classes(documents, similarity)
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    joined = ids.join(found, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return joined.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    """doc_id, class_id and kept of every row: the text of the least id of the class stays."""
+    rows, several = apart(documents)
+    found = own_classes(rows, several, similarity)
+    joined = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__own").join(found, "__own", "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("first") == F.col("__own"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows that stay, all columns: one of each class; of rows that share an id, one."""
-    later = classes(documents, similarity).where("class_id != doc_id").select(F.col("doc_id").alias("__doc"))
+    """The rows that stay, all columns: one of each class; of rows that share both id and text, one."""
+    rows, several = apart(documents)
+    later = own_classes(rows, several, similarity).where("first != __own").select(F.col("__own").alias("__later"))
     few = materialise(later)
     gone = F.broadcast(few) if few.count() <= 10 * BROADCAST_ROWS else few
-    kept = documents.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")
-    repeated = documents.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return kept if repeated else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    kept = rows.join(gone, F.col("__own") == F.col("__later"), "left_anti")
+    unique = rows.groupBy("__own").count().where("count > 1 and __own is not null").isEmpty()
+    kept = kept if unique else kept.where("__own is not null").dropDuplicates(["__own"]).unionByName(kept.where("__own is null"))
+    return kept.drop("__own")

@@ -367,6 +367,16 @@ def test_near_duplicates(spark, documents, texts):
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} >= set(want.values())
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = ("one two three four five six seven", "quite another text of some more words", "and a third one that is like no other")
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, a), (3, ""), (4, "so is this fourth text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in neardup.without_near_duplicates(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (3, c), (3, ""), (4, rows[-1][1])])
+    found = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in found) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (3, 3, True), (3, 3, True), (4, 4, True)]
+
+
 def test_family_without_a_center(spark):
     rng = np.random.default_rng(6)
     base = [f"w{k}" for k in range(150)]
