@@ -7,19 +7,21 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.plans.workers import map_arrow
+from lodestar.plans.workers import group_arrow, map_arrow
 
-__all__ = ["BROADCAST_ROWS", "attach", "by_text", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "attach", "by_text", "group_arrow", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
 
 #: Rows of a small table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Rows of an Arrow batch that are turned into Python objects at once.
-SLICE_ROWS = 512
+#: Rows, and bytes of their texts, that are turned into Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only in local mode where none is set."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestar-")
         context.setCheckpointDir(found)
     return found
@@ -83,11 +87,20 @@ def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequen
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Smaller pieces of the batches, so that few texts are Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches of few rows and bytes, so that little is in Python at once; a longer row comes alone."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        total = np.zeros(batch.num_rows + 1, "int64")
+        for c in texts:
+            total[1:] += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(total)
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(total, total[start] + most, side="right")) - 1
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def by_text(work: Callable[[list, list], dict], schema: pa.Schema) -> Callable:

@@ -17,6 +17,9 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x5851F42D4C957F2D
 
+#: Bytes whose words are hashed together; a longer word is hashed alone.
+BLOCK = 1 << 17
+
 KIND = np.zeros(256, "uint8")  # 1: white space, 2: line feed
 KIND[[9, 11, 12, 13, 32]] = 1
 KIND[10] = 2
@@ -69,10 +72,17 @@ class Words:
             cut = cut[(cut > 0) & (cut <= len(raw))] - 1
             stop[cut] = word[cut]
         end = np.flatnonzero(stop) + 1
-        up, down = powers(max(10, int(len(raw)).bit_length()))
-        sums = np.zeros(len(raw) + 1, "uint64")
-        np.cumsum((raw.astype("uint64") + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-        self.hash = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype("uint64"))
+        self.hash = np.empty(len(begin), "uint64")
+        k = 0
+        while k < len(begin):  # words of some bytes at once, which bounds the prefix sums
+            stop = max(k + 1, int(np.searchsorted(end, begin[k] + BLOCK, side="right")))
+            own = raw[begin[k] : end[stop - 1]]
+            up, down = powers(max(18, int(len(own)).bit_length()))
+            sums = np.zeros(len(own) + 1, "uint64")
+            np.cumsum((own.astype("uint64") + np.uint64(1)) * up[: len(own)], out=sums[1:])
+            a, b = begin[k:stop] - begin[k], end[k:stop] - begin[k]
+            self.hash[k:stop] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype("uint64"))
+            k = stop
         self.rows = rows
         self.doc = np.searchsorted(starts[1:], begin, side="right")
         feeds = np.flatnonzero(kind == 2)

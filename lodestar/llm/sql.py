@@ -88,13 +88,16 @@ from measured m join wide x on m.lang is not distinct from x.lang and m.source i
 
 OP9 = r"""
 with lines as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k from documents where doc_id is not null),
-worded as (select doc_id, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from lines),
-sets as (select doc_id, k, list_distinct([array_to_string(w[i:i + 4], chr(0)) for i in range(1, len(w) - 3)]) as s from worded where len(w) >= 5),
-firsts as (select s, min((doc_id, k)) as first, row_number() over () as id from (select list_sort(s) as s, doc_id, k from sets) group by s),
-members as (select f.id, m.doc_id, m.k, f.first from (select list_sort(s) as s, doc_id, k from sets) m join firsts f using (s)),
-grams as (select id, len(s) as n, first, unnest(s) as g from firsts),
-shared as (select b.id from grams a join grams b on a.g = b.g and a.first < b.first group by a.id, b.id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
-gone as (select doc_id, k from members where (doc_id, k) <> first or id in (select id from shared)),
+worded as (select doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as s from lines),
+firsts as (select s, min((doc_id, k)) as first, row_number() over () as id from worded where len(s) > 0 group by s),
+members as (select f.id, m.doc_id, m.k, f.first from worded m join firsts f using (s)),
+words as (select id, len(s) as n, first, unnest(s) as w from firsts),
+counts as (select w, count(*) as c from words group by w),
+placed as (select id, n, first, w, row_number() over (partition by id order by c, w) as place from words join counts using (w)),
+prefixes as (select * from placed where place <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs as (select distinct a.id as a, b.id as b from prefixes a join prefixes b on a.w = b.w and a.first < b.first and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+alike as (select distinct p.b as id from pairs p join firsts x on x.id = p.a join firsts y on y.id = p.b where len(list_intersect(x.s, y.s)) >= 0.8 / 1.8 * (len(x.s) + len(y.s)) - 1e-9),
+gone as (select doc_id, k from members where (doc_id, k) <> first or id in (select id from alike)),
 kept as (select l.doc_id, count(*) as n_lines, count(g.k) as n_removed, coalesce(string_agg(l.k::varchar, ',' order by l.k) filter (g.k is not null), '') as removed,
     coalesce(string_agg(l.line, chr(10) order by l.k) filter (g.k is null), '') as text from lines l left join gone g on g.doc_id = l.doc_id and g.k = l.k group by l.doc_id)
 select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, removed, text from kept
