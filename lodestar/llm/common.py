@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from lodestar.plans.workers import group_arrow, map_arrow
 
-__all__ = ["BROADCAST_ROWS", "attach", "by_text", "group_arrow", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "attach", "by_text", "forget", "free_shuffles", "group_arrow", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
 
 #: Rows of a small table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -40,15 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def place_of(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = place_of(spark, path)
+    system.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for frame in frames:
+        target, system = place_of(frame.sparkSession, frame.written_at)
+        system.delete(target, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so once the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def attach(df: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:

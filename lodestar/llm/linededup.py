@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import BROADCAST_ROWS, attach, group_arrow, map_arrow, materialise, slices
+from lodestar.llm.common import BROADCAST_ROWS, attach, forget, free_shuffles, group_arrow, map_arrow, materialise, slices
 from lodestar.llm.shingles import FACTOR, STEP, Words, common, mix
 
 SIMILARITY = 0.8
@@ -46,9 +46,9 @@ LONG = 50_000
 #: Pairs that are looked at together.
 PAIRS = 400_000
 #: Earlier sets that a set keeps in a group, and of all its groups' how many it is compared with first.
-KEPT, FIRST = 16, 2
+KEPT, FIRST = 4, 2
 #: Open sets that are asked together against all lines.
-ASKED = 10_000
+ASKED = 30_000
 
 
 def least_common(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -384,14 +384,14 @@ def ask_all(rows: DataFrame, asked: list, counted: np.ndarray, similarity: float
 def later_sets(rows: DataFrame, counted: np.ndarray, groups: int, similarity: float, kept: int = KEPT, long: int = LONG) -> DataFrame:
     """b (k1) of every set of which an earlier set is that similar, but not equal."""
     found = materialise(candidates(postings(rows, counted, groups, similarity, long), similarity, kept))
+    free_shuffles(rows.sparkSession)
     lines = found.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).union(found.where("a is not null").select("a_doc", "a_line")).distinct()
     sets = materialise(sets_of(rows, lines).dropDuplicates(["k1"]))
     alike = Window.partitionBy("b").orderBy("unlike", "a")
     pairs = materialise(found.where("a is not null").groupBy("b", "a").agg(F.min("unlike").alias("unlike")).withColumn("turn", F.row_number().over(alike)))
     done = similar(pairs.where(F.col("turn") <= FIRST), sets, similarity)
-    rest = attach(pairs.where(F.col("turn") > FIRST), done, ["b"], "left_anti")
-    if not rest.isEmpty():
-        done = done.union(similar(rest, sets, similarity))
+    rest = similar(attach(pairs.where(F.col("turn") > FIRST), done, ["b"], "left_anti"), sets, similarity)
+    done = done.union(rest)
     left = attach(found.where("more").groupBy("b").agg(F.min("b_doc").alias("b_doc"), F.min("b_line").alias("b_line")), done, ["b"], "left_anti")
     left = materialise(left.join(sets.toDF("b", "words"), "b"))
     blocks = -(-left.count() // ASKED)
@@ -399,6 +399,8 @@ def later_sets(rows: DataFrame, counted: np.ndarray, groups: int, similarity: fl
         asked = left.where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == k).collect()  # about ASKED rows
         if asked:
             done = done.union(materialise(ask_all(rows, asked, counted, similarity).distinct()))
+    done = materialise(done.distinct())
+    forget(found, sets, pairs, left)
     return done
 
 
@@ -414,8 +416,7 @@ def later_lines(documents: DataFrame, similarity: float = SIMILARITY, kept: int
     if not amount:
         return copies
     done = later_sets(rows, total_counts(surveyed), max(1, math.ceil(amount / GROUP)), similarity, kept, long)
-    done = materialise(done.withColumnRenamed("b", "k1").distinct())
-    return copies.union(attach(lines, done, ["k1"], "left_semi").select("doc_id", "version", "line")).distinct()
+    return copies.union(attach(lines, done.withColumnRenamed("b", "k1"), ["k1"], "left_semi").select("doc_id", "version", "line")).distinct()
 
 
 def dedup(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
