@@ -7,11 +7,12 @@ node has one process of its width's rate, and a point counts if its level is wit
 shingles share their processes, so two registers agree with the probability of the weighted Jaccard
 similarity, without bias. Points come in time order, and a shingle stops at the latest register.
 
-Bands of registers propose pairs. In each bucket, members are first compared with one of them, then
-with others, then, where a bucket still spans several classes, across the classes: a pair within a
-class proves nothing new, so the classes are those of all proposed pairs. Of pairs across classes
-only those go on whose longer sketches agree nearly enough. Pairs are verified by the exact weighted
-Jaccard overlap of 64-bit shingle hashes.
+Bands of registers propose pairs. In each bucket, members are first compared with the least of them,
+then, where a bucket still spans several classes, with two leaders in turn, then across the classes: a
+pair within a class proves nothing new, so the classes are those of all proposed pairs. Of pairs across
+classes only those go on whose longer sketches agree nearly enough. Pairs are verified by the exact
+weighted Jaccard overlap of 64-bit shingle hashes. The join across classes is by bucket, which Spark
+splits where one is large.
 
 Words are split at ASCII white space. Texts of equal shingles are one text. Texts of fewer than five words are one shingle; texts without
 words and nulls have no class but their own. Rows of a null id are kept and have a null class.
@@ -45,8 +46,8 @@ TOGETHER = 64
 #: Registers of the one-bit sketches that pairs across classes are first compared by, and how far below
 #: the similarity their estimate may be: at 0.8 it falls lower with a chance of 1 in 10^6.
 SKETCH, SLACK = 4096, 0.046
-#: Rounds that compare each member of an unsettled bucket with one other.
-LEADER_ROUNDS = 3
+#: The round that compares across classes; those before it, members with leaders.
+LEADER_ROUNDS = 2
 
 
 def points(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -168,9 +169,41 @@ def verify(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
                 kept.append(shared >= similarity * ((small + large) // 8 - shared) and shared > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = held.toDF("a", "bag_a")
-    both = pairs.join(left, "a").join(held.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
-    return map_arrow(both, run, "a long, b long").distinct()
+    both = pairs.join(held.toDF("a", "bag_a"), "a").join(held.toDF("b", "bag_b"), "b").select("a", "b", "bag_a", "bag_b")
+    return map_arrow(both, run, "a long, b long")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
+    """Rows with the label of their node, its own number where it has none."""
+    return rows.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def merged(labels: DataFrame, edges: DataFrame, few: bool) -> DataFrame:
+    """node, label after further edges between nodes: components of the classes that they link."""
+    ends = edges
+    for c in "ab":
+        ends = labelled(ends.withColumnRenamed(c, "node"), labels, few).drop("node").withColumnRenamed("label", c)
+    above = materialise(components(ends)).toDF("label", "above")
+    old = labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return old.union(above.join(labels.select(F.col("node").alias("label")), "label", "left_anti"))  # classes of one until now
+
+
+def next_pairs(buckets: DataFrame, labels: DataFrame, few: bool, turn: int, held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket: of each member with two leaders, other ones in each
+    bucket and turn; in the last turn all whose sketches are nearly alike enough."""
+    named = labelled(buckets, labels, few)
+    order = F.xxhash64("node", "band", F.lit(turn))
+    leads = [f(F.struct(order.alias("h"), "node", "label")) for f in (F.min, F.max)]
+    wide = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.array(*leads).alias("leads")).where("x != y").select("band", "leads")
+    if turn < LEADER_ROUNDS:
+        each = named.join(wide, "band").withColumn("lead", F.explode("leads")).where("label != lead.label")
+        return each.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    open_ = materialise(named.join(wide.select("band"), "band"))
+    drawn = materialise(sketches(held.join(open_.select("node").distinct(), "node", "left_semi")))
+    marked = materialise(open_.join(drawn, "node"))
+    left, right = (marked.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    alike = unlike("sketch_a", "sketch_b") <= int(SKETCH * (1 - similarity + SLACK) / 2)
+    return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & alike).select("a", "b").distinct()
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,44 +211,19 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialise(signatures(documents))
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     rows = texts.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band")
+    shared = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
     buckets = materialise(rows.join(shared, "band"))  # of several texts
-    held = materialise(bags_of(documents, buckets.select("node").distinct()))
-    edges, tried, labels = [], [], None
-    for turn in range(LEADER_ROUNDS + 1):
-        named = buckets.withColumn("label", F.col("node"))
-        if labels is not None:
-            named = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        wide = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
-        open_ = materialise(named.join(wide, "band")) if turn else named
-        if turn < LEADER_ROUNDS:  # another leader in each bucket and round
-            order = F.xxhash64("node", "band", F.lit(turn)) if turn else F.lit(0)
-            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("h"), "node", "label")).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"))
-            pairs = open_.join(lead, "band").where("label != lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        else:
-            drawn = materialise(sketches(held.join(open_.select("node").distinct(), "node")))
-            marked = materialise(open_.join(drawn, "node"))
-            left, right = (marked.select("band", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-            alike = unlike("sketch_a", "sketch_b") <= int(SKETCH * (1 - similarity + SLACK) / 2)
-            pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & alike).select("a", "b")
-        pairs = pairs.distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            if turn == 0 or turn == LEADER_ROUNDS:
-                break
-            continue
-        tried.append(pairs)
-        found = materialise(verify(pairs, held, similarity))
+    pairs = materialise(buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    held = materialise(bags_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    labels = materialise(components(verify(pairs, held, similarity)))
+    several = buckets.where("members > 2").select("band", "node")  # in a bucket of two, that pair has been tried
+    for turn in range(1, LEADER_ROUNDS + 1):
+        few = labels.count() <= 10 * BROADCAST_ROWS
+        found = materialise(verify(next_pairs(several, labels, few, turn, held, similarity), held, similarity))
         if not found.isEmpty():
-            edges.append(found)
-            merged = found if labels is None else found.union(labels.select("label", "node"))
-            labels = materialise(components(merged))
-    if labels is None:
-        own = texts.select("key", F.col("node").alias("class_id"))
-    else:
-        own = texts.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
+            labels = materialise(merged(labels, found, few))
+    labels = F.broadcast(labels) if labels.count() <= 10 * BROADCAST_ROWS else labels
+    own = labelled(signed.groupBy("key").agg(F.min("doc_id").alias("node")), labels, False).select("key", F.col("label").alias("class_id"))
     return signed.select("doc_id", "key").join(own, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
