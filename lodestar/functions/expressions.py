@@ -16,13 +16,25 @@ SPACE_BEFORE, SPACE_AFTER = "(?U)^\\s+", "(?U)\\s+$"
 
 
 class Expr:
-    """A Column, the properties it reads, and whether it is a condition that can be null."""
+    """A Column, the properties it reads, and whether it is a condition that can be null.
 
-    __slots__ = ("col", "maybe", "reads")
+    ``name``: the property, if it is nothing else. ``bounds``: comparisons (property, operator, value)
+    that must all hold where this condition does; statistics of files can rule some out.
+    """
+
+    __slots__ = ("bounds", "col", "maybe", "name", "reads")
     __hash__ = None
 
-    def __init__(self, col: Column, reads: frozenset[str] = frozenset(), maybe: bool = False):
-        self.col, self.reads, self.maybe = col, reads, maybe
+    def __init__(self, col: Column, reads: frozenset[str] = frozenset(), maybe: bool = False, name: str | None = None, bounds: tuple = ()):
+        self.col, self.reads, self.maybe, self.name, self.bounds = col, reads, maybe, name, bounds
+
+    def _bound(self, *found: tuple[str, Any]) -> tuple:
+        plain = all(v is not None and not isinstance(v, (Expr, Column)) for _, v in found)
+        return tuple((self.name, op, v) for op, v in found) if self.name and plain else ()
+
+    def _bounded(self, made: Expr, *found: tuple[str, Any]) -> Expr:
+        made.bounds = self._bound(*found)
+        return made
 
     def _with(self, make: Callable[..., Column], *others: Any, maybe: bool = False) -> Expr:
         rest = [of(o) for o in others]
@@ -30,30 +42,36 @@ class Expr:
 
     # comparisons
     def __eq__(self, other):
-        return self._with(lambda a, b: a.eqNullSafe(b), other)
+        return self._bounded(self._with(lambda a, b: a.eqNullSafe(b), other), ("==", other))
 
     def __ne__(self, other):
         return self._with(lambda a, b: ~a.eqNullSafe(b), other)
 
     def __lt__(self, other):
-        return self._with(lambda a, b: a < b, other, maybe=True)
+        return self._bounded(self._with(lambda a, b: a < b, other, maybe=True), ("<", other))
 
     def __le__(self, other):
-        return self._with(lambda a, b: a <= b, other, maybe=True)
+        return self._bounded(self._with(lambda a, b: a <= b, other, maybe=True), ("<=", other))
 
     def __gt__(self, other):
-        return self._with(lambda a, b: a > b, other, maybe=True)
+        return self._bounded(self._with(lambda a, b: a > b, other, maybe=True), (">", other))
 
     def __ge__(self, other):
-        return self._with(lambda a, b: a >= b, other, maybe=True)
+        return self._bounded(self._with(lambda a, b: a >= b, other, maybe=True), (">=", other))
 
     def compare(self, other) -> Expr:
-        """-1, 0 or 1 as this string sorts before, with or after the other; nulls sort first."""
-        return self._with(lambda a, b: F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1), other)
+        """-1, 0 or 1 as this string sorts before, with or after the other; nulls sort first.
+
+        Compared with 0, it is a plain comparison with a constant, which pushes down.
+        """
+        found = self._with(lambda a, b: F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1), other)
+        return Compared(found, self, other) if isinstance(other, str) else found
 
     # logic
     def __and__(self, other):
-        return self._with(lambda a, b: a & b, other, maybe=self.maybe or of(other).maybe)
+        both = self._with(lambda a, b: a & b, other, maybe=self.maybe or of(other).maybe)
+        both.bounds = self.bounds + of(other).bounds
+        return both
 
     def __rand__(self, other):
         return of(other) & self
@@ -124,7 +142,8 @@ class Expr:
 
     # strings
     def starts_with(self, prefix):
-        return self._with(lambda a, b: a.startswith(b), prefix, maybe=True)
+        found = self._with(lambda a, b: a.startswith(b), prefix, maybe=True)
+        return self._bounded(found, (">=", prefix), ("<=", prefix + "\U0010ffff")) if isinstance(prefix, str) else found
 
     def ends_with(self, suffix):
         return self._with(lambda a, b: a.endswith(b), suffix, maybe=True)
@@ -198,7 +217,8 @@ class Expr:
         values = list(values)
         rest = [v for v in values if v is not None]
         none = None in values
-        return self._with(lambda a: (a.isin(rest) | a.isNull()) if none else a.isin(rest), maybe=not none)
+        found = self._with(lambda a: (a.isin(rest) | a.isNull()) if none else a.isin(rest), maybe=not none)
+        return self._bounded(found, (">=", min(rest)), ("<=", max(rest))) if rest and not none and len({type(v) for v in rest}) == 1 else found
 
     def choose(self, then, otherwise):
         """then where this condition holds, else otherwise."""
@@ -208,6 +228,39 @@ class Expr:
         return self._with(lambda a: a.cast(kind))
 
 
+class Compared(Expr):
+    """The comparison of a string with a constant."""
+
+    __slots__ = ("left", "right")
+    __hash__ = None
+
+    def __init__(self, whole: Expr, left: Expr, right: str):
+        super().__init__(whole.col, whole.reads, whole.maybe)
+        self.left, self.right = left, right
+
+    def __eq__(self, other):
+        return self.left == self.right if is_zero(other) else super().__eq__(other)
+
+    def __ne__(self, other):
+        return self.left != self.right if is_zero(other) else super().__ne__(other)
+
+    def __lt__(self, other):
+        return self.left._with(lambda a, b: a.isNull() | (a < b), self.right) if is_zero(other) else super().__lt__(other)
+
+    def __le__(self, other):
+        return self.left._with(lambda a, b: a.isNull() | (a <= b), self.right) if is_zero(other) else super().__le__(other)
+
+    def __gt__(self, other):
+        return self.left > self.right if is_zero(other) else super().__gt__(other)
+
+    def __ge__(self, other):
+        return self.left >= self.right if is_zero(other) else super().__ge__(other)
+
+
+def is_zero(value: Any) -> bool:
+    return type(value) is int and value == 0
+
+
 def of(value: Any) -> Expr:
     if isinstance(value, Expr):
         return value
@@ -228,7 +281,7 @@ class Row:
         if found is None:
             raise AttributeError(f"no column {name}; there are {', '.join(self._columns.values())}")
         quoted = f"`{found}`"
-        return Expr(F.col(f"{self._source}.{quoted}" if self._source else quoted), frozenset([found]))
+        return Expr(F.col(f"{self._source}.{quoted}" if self._source else quoted), frozenset([found]), name=found)
 
     def __getattr__(self, name: str) -> Expr:
         if name.startswith("_"):

@@ -8,6 +8,7 @@ needs them. Terminals come twice: ``frame_...`` gives a one-row DataFrame, the p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,10 @@ from lodestar.functions.expressions import Expr, Row, of
 from lodestar.plans.order import Key, cut, numbered, sort
 
 FILE, PLACE = "__file", "__place"
+#: Hidden columns that hold the order of elements of several scans: of left, right, groups.
+CARRIED = "__c_"
+#: Hidden columns that number elements or hold their place in a file: no two elements have the same.
+UNIQUE = {PLACE, "__n", "__at"}
 SCAN_ORDER: tuple[Key, ...] = ((FILE, False), (PLACE, False))
 
 
@@ -75,13 +80,24 @@ class Query:
 
     def _condition(self, what: Any) -> Expr:
         found = self._expr(what)
-        kind = self._lean.select(found.col.alias("c")).schema["c"].dataType.simpleString()
+        typed = self._lean if self._root is None else self._root._lean
+        kind = typed.select(found.col.alias("c")).schema["c"].dataType.simpleString()
         if kind != "boolean":
             raise TypeError(f"a condition is boolean, not {kind}")
         return found
 
     def _hidden(self, ordered: bool = True) -> list[str]:
-        return list(dict.fromkeys(c for c, _ in self._order if c not in self.columns and (ordered or c not in (FILE, PLACE))))
+        return list(dict.fromkeys(c for c, _ in self._order if c not in self.columns and (ordered or not (c in (FILE, PLACE) or c.startswith(CARRIED)))))
+
+    def _carried(self, tag: str, names: Sequence[Column] | None = None) -> tuple[Callable[..., DataFrame], list[Key]]:
+        """A function that makes the frame of visible columns (or ``names``) and its order under other names, and that order."""
+        order = [(f"{CARRIED}{tag}{k}", down) for k, (_, down) in enumerate(self._order)]
+
+        def made(*more: Column) -> DataFrame:
+            keys = [F.col(c).alias(new) for (c, _), (new, _) in zip(self._order, order)]
+            return self._df.select(*(map(quoted, self.columns) if names is None else names), *more, *keys)
+
+        return made, order
 
     def _keyed(self, what: Any) -> tuple[list[str], list[Column]]:
         """Names and columns of keys: one or several names, functions, or a dict of them."""
@@ -99,9 +115,13 @@ class Query:
 
     # filters and projections
     def where(self, condition: Any) -> Query:
-        scan = {"root": self._root, "filters": (*self._filters, condition)} if self._root is not None else {}
-        found = self._condition(condition).col
-        return self._next(lambda o: self._frame_of(o).where(found), **scan)
+        found = self._condition(condition)
+        if self._root is None:
+            return self._next(lambda o: self._frame_of(o).where(found.col))
+        root, filters = self._root, (*self._filters, condition)
+        every = [self._condition(f) for f in filters]
+        bounds = tuple(b for e in every for b in e.bounds)
+        return self._next(lambda o: reduce(lambda df, e: df.where(e.col), every, root.within(bounds, o)), root=root, filters=filters)
 
     def select(self, *items: Any, **named: Any) -> Query:
         """Properties by name, and computed or renamed ones by keyword."""
@@ -163,28 +183,24 @@ class Query:
 
     # parts of the order
     def take(self, n: int) -> Query:
-        return self._next(self._df.orderBy(*sort(self._total())).limit(max(0, n)))
+        whole = self._root is not None and not self._filters
+        base = self._root.leading(n) if whole else self._df
+        return self._next(base.orderBy(*sort(self._total())).limit(max(0, n)))
 
     def skip(self, n: int) -> Query:
-        """Elements after the n first ones, by the key of the last of those: no global sort."""
+        """Elements after the n first ones, by the key of the last of those: no global sort.
+
+        Where keys may be equal, elements are numbered instead.
+        """
         if n <= 0:
             return self
         keys = self._total()
+        if UNIQUE.isdisjoint(c for c, _ in keys) or any(c.startswith(CARRIED) for c, _ in keys):
+            return self._next(numbered(self._df, keys, "__number").where(F.col("__number") >= n).drop("__number"))
         head = self._df.orderBy(*sort(keys)).limit(n)
         edge = head.orderBy(*sort(keys, flip=True)).limit(1)
         full = head.agg(F.count("*").alias("n")).where(F.col("n") >= n).select("n")
-        after = self._unique_cut(keys, edge.join(full, F.lit(True)).drop("n"))
-        return self._next(after)
-
-    def _unique_cut(self, keys, edge: DataFrame) -> DataFrame:
-        """Rows after the edge's; without an edge, none."""
-        one = edge.select(F.struct(*[F.col(c) for c, _ in keys]).alias("__edge"))
-        from lodestar.plans.order import before
-
-        same = F.lit(True)
-        for c, _ in keys:
-            same = same & F.col(c).eqNullSafe(F.col(f"__edge.{c}"))
-        return self._df.join(F.broadcast(one), F.lit(True)).where(~before(keys, "__edge") & ~same).drop("__edge")
+        return self._next(cut(self._df, keys, edge.join(full, F.lit(True)).drop("n"), False, False, inclusive=False))
 
     def page(self, skip: int, take: int) -> Query:
         return self._next(self._df.orderBy(*sort(self._total())).offset(skip).limit(take))
@@ -230,49 +246,78 @@ class Query:
 
     # sets
     def distinct(self) -> Query:
-        """In the order of first occurrences in the scan; elements of no scan have none."""
+        """In the order of first occurrences; elements without an order have none."""
         columns = [*map(quoted, self.columns)]
-        if not {FILE, PLACE} <= set(self._df.columns):
+        if not self._order or any(down for _, down in self._order):
             return Query(self._plain().distinct(), self.columns)
+        order = [f"{CARRIED}d{k}" for k in range(len(self._order))]
 
         def made(o: bool) -> DataFrame:
             if not o:
                 return self._plain().distinct()
-            found = self._df.groupBy(*columns).agg(F.min(F.struct(FILE, PLACE)).alias("__first"))
-            return found.select(*columns, *[F.col(f"__first.{c}").alias(c) for c in (FILE, PLACE)])
+            found = self._df.groupBy(*columns).agg(F.min(F.struct(*[F.col(c).alias(new) for (c, _), new in zip(self._order, order)])).alias("__first"))
+            return found.select(*columns, *[F.col(f"__first.{c}").alias(c) for c in order])
 
-        return Query(made, self.columns, SCAN_ORDER)
+        return Query(made, self.columns, [(c, False) for c in order], len(order) if self._explicit else 0)
 
     def distinct_by(self, key: Any) -> Query:
-        """The first element of each key."""
-        return self._extreme(key, self._total(), [])
-
-    def _extreme(self, key: Any, keys: Sequence[Key], extra: Sequence) -> Query:
-        from pyspark.sql.window import Window
-
+        """The first element of each key: an aggregate, so a frequent key is combined before it moves."""
+        keys = self._total()
         _, columns = self._keyed(key)
-        rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*sort(keys)))
-        return self._next(self._df.withColumn("__rank", rank).where("__rank = 1").drop("__rank"))
+        if any(down for _, down in keys):
+            from pyspark.sql.window import Window
+
+            rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*sort(keys)))
+            return self._next(self._df.withColumn("__rank", rank).where("__rank = 1").drop("__rank"))
+        whole = F.struct(*map(quoted, self._df.columns))
+        first = self._df.groupBy(*[c.alias(f"__by{k}") for k, c in enumerate(columns)]).agg(F.min_by(whole, F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)])).alias("__first"))
+        return self._next(first.select("__first.*"))
 
     def _plain(self) -> DataFrame:
         return self._lean.select(*map(quoted, self.columns))
 
     def concat(self, other: Query) -> Query:
-        return Query(self._plain().unionByName(other._plain()), self.columns)
+        """This query's elements, then the other's, each in their order."""
+        (left, left_order), (right, right_order) = self._carried("l"), other._carried("r")
+        side = f"{CARRIED}side"
+
+        def made(o: bool) -> DataFrame:
+            if not o:
+                return self._plain().unionByName(other._plain())
+            return left(F.lit(0).alias(side)).unionByName(right(F.lit(1).alias(side)), allowMissingColumns=True)
+
+        order = [(side, False), *left_order, *right_order]
+        return Query(made, self.columns, order, len(order) if self._explicit or other._explicit else 0)
 
     def union(self, other: Query) -> Query:
-        return Query(self._plain().unionByName(other._plain()).distinct(), self.columns)
+        return self.concat(other).distinct()
+
+    def _among(self, other: Query, how: str, plain: DataFrame) -> Query:
+        """Distinct elements that the other holds, or doesn't, in this query's order."""
+        first = self.distinct()
+        if not first._order:
+            return Query(plain, self.columns)
+
+        def made(o: bool) -> DataFrame:
+            if not o:
+                return plain
+            right = other._plain().select(*[quoted(c).alias(f"__other{k}") for k, c in enumerate(self.columns)])
+            same = F.lit(True)
+            for k, c in enumerate(self.columns):
+                same = same & quoted(c).eqNullSafe(F.col(f"__other{k}"))
+            return first._df.join(right, same, how)
+
+        return Query(made, self.columns, first._order, first._explicit)
 
     def intersect(self, other: Query) -> Query:
-        return Query(self._plain().intersect(other._plain().select(*map(quoted, self.columns))), self.columns)
+        return self._among(other, "left_semi", self._plain().intersect(other._plain().select(*map(quoted, self.columns))))
 
     def except_(self, other: Query) -> Query:
-        return Query(self._plain().subtract(other._plain().select(*map(quoted, self.columns))), self.columns)
+        return self._among(other, "left_anti", self._plain().subtract(other._plain().select(*map(quoted, self.columns))))
 
     def union_by(self, other: Query, key: Any) -> Query:
         """First elements of each key, those of this query before the other's."""
-        both = self._plain().withColumn("__side", F.lit(0)).unionByName(other._plain().withColumn("__side", F.lit(1)))
-        return Query(both, self.columns, [("__side", False), *((c, False) for c in self.columns)]).distinct_by(key)
+        return self.concat(other).distinct_by(key)
 
     def _by_keys(self, keys: Query, key: Any, how: str) -> Query:
         first = self.distinct_by(key)
@@ -316,17 +361,26 @@ class Query:
         names = names or {c: c for c in other.columns if c not in self.columns}
         _, left_keys = self._keyed(left_key)
         _, right_keys = other._keyed(right_key)
-        left = self._plain().select("*", *[c.alias(f"__l{k}") for k, c in enumerate(left_keys)])
-        right = other._plain().select(*[quoted(old).alias(new) for new, old in names.items()], *[c.alias(f"__r{k}") for k, c in enumerate(right_keys)])
-        on = F.lit(True)
-        for k in range(len(left_keys)):
-            on = (F.col(f"__l{k}") == F.col(f"__r{k}")) if k == 0 else on & (F.col(f"__l{k}") == F.col(f"__r{k}"))
-        df = left.join(right, on, how)
-        columns = self.columns if how in ("left_semi", "left_anti") else [*self.columns, *names]
-        return Query(df.select(*map(quoted, columns)), columns)
+        renamed = [quoted(old).alias(new) for new, old in names.items()]
+        left_more, right_more = ([c.alias(f"__{side}{k}") for k, c in enumerate(found)] for side, found in (("l", left_keys), ("r", right_keys)))
+        (left, left_order), (right, right_order) = self._carried("l"), other._carried("r", renamed)
+        on = reduce(lambda a, b: a & b, [F.col(f"__l{k}") == F.col(f"__r{k}") for k in range(len(left_keys))])
+        one_sided = how in ("left_semi", "left_anti")
+        columns = self.columns if one_sided else [*self.columns, *names]
+        order = left_order if one_sided else [*right_order, *left_order] if how == "right" else [*left_order, *right_order]
+
+        def made(o: bool) -> DataFrame:
+            if o:
+                return left(*left_more).join(right(*right_more), on, how).select(*map(quoted, columns), *[c for c, _ in order])
+            return self._plain().select("*", *left_more).join(other._plain().select(*renamed, *right_more), on, how).select(*map(quoted, columns))
+
+        return Query(made, columns, order, len(order) if self._explicit else 0)
 
     def join(self, other: Query, left_key: Any, right_key: Any, how: str = "inner", names: dict[str, str] | None = None) -> Query:
-        """Equi-join; null keys never match. ``names``: the other's columns as new=old, by default all new ones."""
+        """Equi-join; null keys never match. ``names``: the other's columns as new=old, by default all new ones.
+
+        Elements stand in this query's order, matches of one in the other's.
+        """
         return self._join(other, left_key, right_key, how, names)
 
     def left_join(self, other: Query, left_key: Any, right_key: Any, names: dict[str, str] | None = None) -> Query:
@@ -546,6 +600,20 @@ class Query:
         return found
 
 
+def in_turn(downs: Sequence[bool]) -> Callable[[Column, Column], Column]:
+    """A comparator of structs k0, k1, ... of which some descend; nulls are lowest."""
+
+    def compare(x: Column, y: Column) -> Column:
+        found = F.lit(0)
+        for k, down in reversed(list(enumerate(downs))):
+            a, b = (y[f"k{k}"], x[f"k{k}"]) if down else (x[f"k{k}"], y[f"k{k}"])
+            less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+            found = F.when(a.eqNullSafe(b), found).when(less, F.lit(-1)).otherwise(F.lit(1))
+        return found
+
+    return compare
+
+
 class Aggregate:
     """An aggregate column, and its value for no elements where that isn't null."""
 
@@ -602,14 +670,25 @@ class Group:
         value = self._query._expr(what).col
         if not keys:
             return Aggregate(F.aggregate(F.sort_array(F.collect_list(value)), first, step), first)
-        pairs = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)], value.alias("v"))), asc=not keys[0][1])
+        pairs = F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)], value.alias("v")))
+        pairs = F.array_sort(pairs, in_turn([down for _, down in keys])) if any(down for _, down in keys) else F.sort_array(pairs)
         return Aggregate(F.aggregate(F.transform(pairs, lambda p: p["v"]), first, step), first, ordered=True)
 
     def agg(self, **aggregates: Callable[[Group], Aggregate]) -> Query:
         found = {n: f(self) for n, f in aggregates.items()}
         base = self._query._df if any(a.ordered for a in found.values()) else self._query._lean
-        grouped = base.groupBy(*[c.alias(n) for n, c in zip(self.names, self._keys)])
-        return Query(grouped.agg(*[a.col.alias(n) for n, a in found.items()]) if found else grouped.agg(F.lit(1).alias("__one")), [*self.names, *found])
+        keys = self._query._order
+        made = [a.col.alias(n) for n, a in found.items()] or [F.lit(1).alias("__one")]
+        by = [c.alias(n) for n, c in zip(self.names, self._keys)]
+        if not keys or any(down for _, down in keys):
+            return Query(base.groupBy(*by).agg(*made), [*self.names, *found])
+        first = f"{CARRIED}g"  # groups stand in the order of their first elements
+
+        def frame(o: bool) -> DataFrame:
+            more = [F.min(F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)])).alias(first)] if o else []
+            return (self._query._df if o else base).groupBy(*by).agg(*made, *more)
+
+        return Query(frame, [*self.names, *found], [(first, False)])
 
     def keys(self) -> Query:
         return Query(self._query._lean.select(*[c.alias(n) for n, c in zip(self.names, self._keys)]).distinct(), self.names)

@@ -26,14 +26,16 @@ def before(keys: Sequence[Key], other: str) -> Column:
     return reduce(lambda x, y: x | y, terms)
 
 
-def cut(df: DataFrame, keys: Sequence[Key], edge: DataFrame, keep_before: bool, without: bool) -> DataFrame:
-    """Rows before the edge row, or those from it on; ``without``: what to keep if there is no edge.
+def cut(df: DataFrame, keys: Sequence[Key], edge: DataFrame, keep_before: bool, without: bool, inclusive: bool = True) -> DataFrame:
+    """Rows before the edge row, or those from it on (``inclusive``, else after it); ``without``: what to keep if there is no edge.
 
     The edge has one row at most, so the join that brings it to every row is a broadcast of one row.
     """
     one = edge.select(F.struct(*[F.col(c) for c, _ in keys]).alias("__edge"))
     at = df.join(F.broadcast(one), F.lit(True), "left")
     inside = before(keys, "__edge")
+    if not inclusive:
+        inside = inside | reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__edge.{c}")) for c, _ in keys])
     return at.where(F.when(F.col("__edge").isNull(), F.lit(without)).otherwise(inside if keep_before else ~inside)).drop("__edge")
 
 
@@ -42,7 +44,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        found = context.getConf().get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint()
 
 

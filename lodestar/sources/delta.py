@@ -52,6 +52,9 @@ def snapshot(spark: SparkSession, root: str) -> Snapshot:
         F.max_by("protocol", F.when(F.col("protocol").isNotNull(), F.struct("version", "line"))).alias("p"),
         F.max("version").alias("v"),
     ).first()
+    versions = log.where("version >= 0").select("version").distinct().agg(F.min("version").alias("least"), F.max("version").alias("most"), F.count("*").alias("n")).first()
+    if versions["n"] and (versions["least"] or versions["n"] != versions["most"] + 1):
+        raise UnsupportedTable(f"the log has {versions['n']} commits between versions {versions['least']} and {versions['most']}: the others are missing or only in a checkpoint")
     protocol, meta = last["p"], last["m"]
     if protocol:
         refused = REFUSED.intersection(protocol["readerFeatures"] or ())

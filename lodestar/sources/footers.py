@@ -23,6 +23,10 @@ def _footer(path: str):
         return pq.read_metadata(file)
 
 
+def row_count(path: str) -> int:
+    return _footer(path).num_rows
+
+
 def row_groups(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,9 +78,8 @@ def _delta(spark: SparkSession, root: str, keys: dict[str, str], merge: str) ->
         with text_partitions(spark):
             return reader.option("basePath", root).parquet(*active), keys
     df = reader.option("recursiveFileLookup", "true").parquet(*active)
-    tail = F.regexp_extract("path", "[^/]+$", 0)
-    values = shot.files.select(tail.alias("__name"), F.col("values").alias("__values")).dropDuplicates(["__name"])
-    df = df.withColumn("__name", F.col("_metadata.file_name")).withColumn(FILE, F.col("_metadata.file_path")).withColumn(PLACE, F.col("_metadata.row_index"))
+    values = shot.files.select(_whole(F.col("path")).alias("__name"), F.col("values").alias("__values")).dropDuplicates(["__name"])
+    df = df.withColumn(FILE, F.col("_metadata.file_path")).withColumn(PLACE, F.col("_metadata.row_index")).withColumn("__name", _whole(F.col(FILE)))
     df = df.join(values, "__name")
     named = {}
     for p, key in keys.items():
@@ -89,6 +88,12 @@ def _delta(spark: SparkSession, root: str, keys: dict[str, str], merge: str) ->
     return df, named
 
 
+def _whole(path: Column) -> Column:
+    """One spelling of a file's path: without scheme, authority and escapes."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+
+
 def scan(spark: SparkSession, root: str, entity: Entity) -> Callable[[bool], DataFrame]:
     """The entity's properties as declared; called with True, also the hidden file and place of each row."""
     df, keys = raw(spark, root, entity)

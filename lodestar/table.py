@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,17 @@ from lodestar.sources.scan import scan
 
 #: Files that a zone map or an index may name in a filter; with more, the scan isn't narrowed.
 NAMED_FILES = 2000
+#: Files from which on statistics are read to rule some out; fewer are as quickly read.
+PRUNE_FROM = 8
+#: Footers that ``take`` reads, at most, to learn which leading files hold its rows.
+LEADING = 16
+BOUNDS = {
+    "==": lambda low, high, v: (low <= v) & (high >= v),
+    "<": lambda low, high, v: low < v,
+    "<=": lambda low, high, v: low <= v,
+    ">": lambda low, high, v: high > v,
+    ">=": lambda low, high, v: high >= v,
+}
 
 
 class Table(Query):
@@ -28,6 +41,7 @@ class Table(Query):
         self.spark, self.entity, self.root = spark, entity, root
         self._source, self._partitions_source, self._ttl = source, partitions_source, ttl
         self._indexes: dict[str, ColumnIndex] = {}
+        self._forget()
         self._opened = time.monotonic()
         super().__init__(source(), list(entity.columns), SCAN_ORDER, root=self)
 
@@ -66,6 +80,7 @@ class Table(Query):
         for index in self._indexes.values():
             index.drop()
         self._indexes.clear()
+        self._forget()
         if self.root:
             self.spark.catalog.refreshByPath(self.root)
         self._make, self._made, self._opened = self._source(), {}, time.monotonic()
@@ -74,6 +89,71 @@ class Table(Query):
         self._fresh()
         return super().where(condition)
 
+    # file pruning
+    def _forget(self) -> None:
+        """What is known of the files' statistics."""
+        for frame in getattr(self, "_ranges", {}).values():
+            frame.unpersist()
+        self._ranges: dict[str, DataFrame] = {}
+        self._paths: list[str] | None = None
+        self._within: dict[tuple, list[str] | None] = {}
+
+    def _listed(self) -> list[str]:
+        """The scan's files as Spark lists them, in their order."""
+        if self._paths is None:
+            self._paths = sorted(self._lean.inputFiles(), key=unquote) if self.root else []
+        return self._paths
+
+    def _ranges_of(self, column: str) -> DataFrame:
+        """path, low, high and unknown of a column by file, read once."""
+        if column not in self._ranges:
+            kind = self.entity.columns[column].data_type.simpleString()
+            self._ranges[column] = footers.file_ranges(self.column_statistics(), self.entity.file_name(column), kind).persist()
+        return self._ranges[column]
+
+    def _holding(self, bounds: tuple) -> list[str] | None:
+        """Paths of the files whose statistics allow the bounds; None if that names no fewer, or too many.
+
+        Statistics are read once for each column and kept as long as the listing. Where they can't be
+        read, as without credentials for the footers, nothing is ruled out.
+        """
+        named = None
+        for column in sorted({c for c, _, _ in bounds if not self.entity.columns[c].partition}):
+            fits = F.lit(True)
+            for c, op, value in bounds:
+                fits = fits & BOUNDS[op](F.col("low"), F.col("high"), F.lit(value)) if c == column else fits
+            try:
+                found = {r[0] for r in self._ranges_of(column).where(F.col("unknown") | F.coalesce(fits, F.lit(False))).select("path").limit(NAMED_FILES + 1).collect()}
+            except Exception as error:  # of the footers' file system, whatever it is
+                warnings.warn(f"no statistics of {column}: {error}", stacklevel=2)
+                return None
+            if len(found) <= NAMED_FILES:
+                named = found if named is None else named & found
+        return None if named is None or len(named) >= len(self._listed()) else sorted(named)
+
+    def within(self, bounds: tuple, ordered: bool) -> DataFrame:
+        """The scan, without files that statistics rule out. The filters must apply again."""
+        if not bounds or len(self._listed()) < PRUNE_FROM:
+            return self._frame_of(ordered)
+        if bounds not in self._within:
+            self._within[bounds] = self._holding(bounds)
+        if (named := self._within[bounds]) is None:
+            return self._frame_of(ordered)
+        found = only_files(self._df, named)
+        return found if ordered else found.select(*self._lean.columns)
+
+    def leading(self, n: int) -> DataFrame:
+        """The scan, only its first files where footers show that those hold ``n`` rows."""
+        paths, rows = self._listed(), 0
+        for k, path in enumerate(paths[: min(LEADING, len(paths) - 1)]):
+            try:
+                rows += footers.row_count(path)
+            except Exception:  # as above: then the whole scan is read
+                break
+            if rows >= n:
+                return only_files(self._df, [unquote(p) for p in paths[: k + 1]])
+        return self._df
+
     # metadata
     def files(self) -> DataFrame:
         """path, size, modified of the table's files; for a log, of its active ones."""
@@ -102,8 +182,8 @@ class Table(Query):
     # narrowing
     def in_range(self, column: str, low: Any = None, high: Any = None) -> Query:
         """Rows with low <= column <= high; footers rule out files first. Unknown statistics keep a file."""
-        kind = self.entity.columns[column].data_type.simpleString()
-        ranges = footers.file_ranges(self.column_statistics(), self.entity.file_name(column), kind)
+        self._fresh()
+        ranges = self._ranges_of(column)
         keep, rows = F.lit(True), F.lit(True)
         if low is not None:
             keep, rows = keep & (F.col("high") >= F.lit(low)), rows & (F.col(column) >= F.lit(low))

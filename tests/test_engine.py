@@ -156,6 +156,32 @@ def test_log_replay(spark, tmp_path):
         Table.from_path(spark, Entity(id=Column("bigint")), str(tmp_path))
 
 
+def test_log_with_missing_commits(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "a.parquet")
+    add = {"add": {"path": "a.parquet", "partitionValues": {}, "size": 1, "modificationTime": 0, "dataChange": True}}
+    log(tmp_path, 7, {"protocol": {"minReaderVersion": 1}}, add)
+    with pytest.raises(delta.UnsupportedTable, match="missing"):
+        Table.from_path(spark, Entity(id=Column("bigint")), str(tmp_path))
+
+
+def test_log_values_of_equal_names(spark, tmp_path):
+    actions = [{"protocol": {"minReaderVersion": 1}}, {"metaData": {"id": "x", "name": None, "schemaString": "{}", "partitionColumns": ["y"], "configuration": {}}}]
+    for folder, y in (("a", "1"), ("b c", "2")):
+        spark.range(2).coalesce(1).write.parquet(str(tmp_path / "w" / folder))
+        (tmp_path / folder).mkdir()
+        next((tmp_path / "w" / folder).glob("*.parquet")).rename(tmp_path / folder / "part-0.parquet")
+        actions.append({"add": {"path": f"{folder.replace(' ', '%20')}/part-0.parquet", "partitionValues": {"y": y}, "size": 1, "modificationTime": 0, "dataChange": True}})
+    log(tmp_path, 0, *actions)
+    table = Table.from_path(spark, Entity(id=Column("bigint"), y=Column("int", partition=True)), str(tmp_path))
+    assert sorted((r.id, r.y) for r in table.to_list()) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_compare_pushes_down(people):
+    assert "GreaterThanOrEqual(name,B" in plan(people.where(lambda r: r.name.compare("B") >= 0).select("id"))
+    assert [people.count(lambda r, f=f: f(r.name.compare("Bob"))) for f in (lambda c: c > 0, lambda c: c >= 0, lambda c: c == 0, lambda c: c != 0, lambda c: c < 0, lambda c: c <= 0, lambda c: ~(c >= 0))] == [0, 2, 2, 3, 3, 5, 3]
+
+
 def test_file_pruning(spark, tmp_path):
     for k in range(10):
         spark.range(k * 100, k * 100 + 100).selectExpr("id", "cast(id as int) as value").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
@@ -163,6 +189,13 @@ def test_file_pruning(spark, tmp_path):
     found = table.in_range("value", 250, 449)
     assert found.count() == 200 and found._df.select("__file").distinct().count() == 3
     assert table.row_groups().count() == 10 and table.column_statistics().where("column = 'value'").count() == 10
+    files = lambda q: q._df.select("__file").distinct().count()
+    ranged = table.where(lambda r: (r.value >= 250) & (r.id > 0)).where(lambda r: r.value < 450)
+    assert ranged.count() == 200 and files(ranged) == 3 and len(table._within) == 1
+    assert table.where(lambda r: r.id == 777).count() == 1 and files(table.where(lambda r: r.id == 777)) == 1
+    assert files(table.where(lambda r: r.id.is_in([5, 120]))) == 2 and table.where(lambda r: r.id < 0).count() == 0
+    assert table.where(lambda r: (r.id < 5) | (r.id > 995)).count() == 9 and table.where(lambda r: ~(r.id < 995)).count() == 5
+    assert files(table.take(150)) == 2 and [r.id for r in table.order_by("id").take(2).to_list()] == [0, 1]
     narrow = table.lookup(lambda r: r.value == 777)
     assert narrow.count() == 1 and "InMemoryTableScan" not in plan(narrow)
 
