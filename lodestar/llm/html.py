@@ -4,13 +4,13 @@ A page becomes units: runs of words, tags, and whole boilerplate elements (menus
 the like). Words score positive and tags and boilerplate negative; one linear scan finds the
 contiguous region with the best sum. The weights come from pages that label their content themselves
 with an article or main element: an averaged structured perceptron moves them until the best region
-is the labelled one. At most ``TRAIN_PAGES`` labelled pages of at most ``TRAIN_CHARS`` characters
-are used, the first in md5 order of their address and id; extraction covers all pages, whole.
+is the labelled one. About ``TRAIN_PAGES`` labelled pages of at most ``TRAIN_CHARS`` characters,
+chosen by a hash of the page, are used; extraction covers all pages, whole, in linear time.
 
 Inside the region boilerplate elements are left out; an element that is never closed is only a
 boundary. Null and empty pages have the text ''. Pages are independent: repeated rows, equal ids and
-null addresses don't matter. Without labelled pages the weights are ``PRIOR``. An empty table gives
-an empty result.
+null addresses don't matter; of regions of equal sums the first counts; columns of other names are
+ignored. Without labelled pages the weights are ``PRIOR``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import hash_order, map_arrow, slices
+from lodestar.llm.common import map_arrow, slices
 
 TRAIN_PAGES, TRAIN_CHARS, ROUNDS = 400, 50_000, 4
 #: Weights before training; any other tag starts at ``OTHER``.
@@ -32,14 +32,21 @@ PRIOR = {"word": 1.0, "linked": 0.3, "a": -0.5, "/a": 0.0, "p": -0.1, "/p": -0.1
 OTHER, BOILERPLATE = -0.5, -2.0
 HIGHEST_TAG = -0.01
 
-UNIT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL | re.IGNORECASE)
+#: Attributes: unquoted parts hold no angle brackets and quoted ones are of bounded length, so that a tag
+#: that never ends is given up at the next bracket and a page of such takes linear time.
+ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+"
+UNIT = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b{ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)({ATTRIBUTES})>|<[!?][^<>]*+>|[^<]++|<", re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 #: Elements that are never main text, names that mark such elements, elements that
 #: are never left out for their names, elements inside a line, and elements without an end tag.
 LEFT_OUT = frozenset("head nav aside footer form button select dialog menu object video audio canvas".split())
 NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond share sharing social related footer masthead popup modal newsletter subscribe widget toolbar pagination pager login signup search".split())
+#: Parts that make no other thing of such a name: share-buttons is sharing, share-price is not.
+PLAIN = frozenset("area article articles bar block body bottom box buttons container content entry form group header holder icons inner item items left links list main outer page panel post posts primary reader region right row secondary section site slot stories text title top unit user wrap wrapper zone".split())
 HEADERS = frozenset(("header", "site-header", "page-header", "banner"))
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+SIZE = re.compile("[0-9]+(?:x[0-9]+)?")
 NEVER = frozenset("html body article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,17 +61,23 @@ class Unit:
         self.kind, self.name, self.text, self.size = kind, name, text, size
 
 
+def names_it(name: str, among: frozenset[str]) -> bool:
+    """Whether a class or id names one of those, and its other parts nothing else."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    return any(x in among for x in parts) and all(x in among or x in NAMES or x in PLAIN or SIZE.fullmatch(x) for x in parts)
+
+
 def left_out(tag: str, attributes: str, depth: int) -> str:
     """The reason's name, if an element is boilerplate; depth: of article or main elements around it."""
     if tag in LEFT_OUT:
         return tag
-    if tag in NEVER or tag in VOID:
+    if tag in VOID or tag in NEVER and tag != "article":
         return ""
     if tag == "header":
         return "" if depth else "header"
     for values in NAMED.findall(attributes) if "=" in attributes else ():
         for name in "".join(values).lower().split():
-            if name in HEADERS and not depth or not NAMES.isdisjoint(re.split(r"[_-]+", name)):
+            if name in HEADERS and not depth and tag != "article" or names_it(name, COMMENTS if tag == "article" else NAMES):
                 return f"{tag}.{name}"
     return ""
 
@@ -137,6 +150,7 @@ def labelled(page: list[Unit]) -> tuple[int, int] | None:
 def train(pages: list[str]) -> dict[str, float]:
     """Averaged perceptron: add the labelled region's units, take away the best region's; signs stay."""
     ready = [(u, gold) for u in map(units, pages) if (gold := labelled(u))]
+    ready.sort(key=lambda x: [(u.name, u.text) for u in x[0]])  # the rows' order isn't given
     weights: dict[str, float] = {n: start_weight(n) for u, _ in ready for n in {x.name for x in u if x.kind != "space"}}
     sums: dict[str, float] = defaultdict(float)
     for _ in range(ROUNDS):
@@ -171,9 +185,11 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 
 def training_pages(pages: DataFrame) -> list[str]:
+    """About ``TRAIN_PAGES`` marked pages by their hash, twice as many at most; no page travels but those."""
     marked = pages.where(F.col("html").isNotNull() & (F.length("html") <= TRAIN_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-    order = [hash_order(F.concat_ws(" ", "url", "page_id")), F.col("page_id")]
-    return [r["html"] for r in marked.select("page_id", "url", "html").orderBy(*order).limit(TRAIN_PAGES).collect()]  # TRAIN_PAGES rows at most
+    every = max(1, marked.count() // TRAIN_PAGES)
+    chosen = marked.where(F.pmod(F.xxhash64("url", "page_id", "html"), F.lit(every)) == 0).limit(4 * TRAIN_PAGES)
+    return [r["html"] for r in chosen.select("html").collect()]
 
 
 def extract(pages: DataFrame) -> DataFrame:

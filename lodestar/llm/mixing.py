@@ -5,8 +5,10 @@ its schedule. Its documents stand in md5 order and repeat in epochs; the demand,
 document's place in that stream, gives its training position; documents are range-sorted by it.
 
 Null texts have no words. A null source is a source of its own, ranked last. Repeated rows share
-the stream one after another. Documents of no words take no position and no words.
-An empty table gives an empty result. A source takes its target rounded to whole words; the last
+the stream one after another; rows that share only an id, or have none, stand by a hash of their text.
+Positions are not rounded, and equal ones stand by doc_id. Documents of no words take no position and
+no words. Texts of any length are read whole; columns of other names pass through. An empty table gives
+an empty result. A source takes its target rounded to whole words; the last
 document of a stream may be taken in part.
 """
 
@@ -49,7 +51,7 @@ def time_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
 def scheduled(share: Column, rank: Column, schedules) -> Column:
     """The training position of a share of the stream of the source with this rank."""
     found = [F.when(rank % len(schedules) == k, time_of(share, knots)) for k, knots in enumerate(schedules)]
-    return F.round(F.coalesce(*found), 9)
+    return F.coalesce(*found)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -78,13 +80,15 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
 
 def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, keep: Sequence[str] = ()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, position, and the columns of ``keep``."""
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hash_order(F.col("doc_id")).alias("__order"), *keep)
+    version = F.xxhash64(F.col("text").cast("string"))
+    order = hash_order(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), version.cast("string"))))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("__order"), version.alias("__version"), *keep)
     sized = materialise(base)
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights)).withColumnRenamed("source", "__source")
     rows = sized.count()
     goal = F.col("source").eqNullSafe(F.col("__source"))
     placed = attach(sized, sources, goal).withColumn("__bucket", F.substring("__order", 1, prefix_digits(rows)))
-    before = running_total(placed, ["rank"], "__bucket", ["__order", "doc_id", "size"], "size", "before")
+    before = running_total(placed, ["rank"], "__bucket", ["__order", "doc_id", "size", "__version"], "size", "before")
     streams = (
         before.withColumn("stream", F.floor(F.col("target") + 0.5).cast("long"))
         .withColumn("epochs", F.expr("if(source_size > 0, stream div source_size, 0)"))

@@ -1,30 +1,36 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each document's measures go into log-linear histograms per language and source. Such a
-histogram is a mergeable quantile sketch: merging adds counts, and a quantile is within
-1/32 of the exact value. Fences come from the sketches and are joined back to the documents.
-
-Null or empty texts have no words and fail the base rule. Null languages and sources are
-groups of their own. Repeated rows are judged one by one. An empty table gives an empty result.
+The measures of each document that passes the base rule go into log-linear histograms per language and
+source. Such a histogram is a mergeable quantile sketch: merging adds counts, and a quantile is within
+1/32 of the exact value. A group's fences stand off its median by a multiple of its own spread on either
+side; its quantiles are drawn towards those of the merged sketch as if that were ``PRIOR`` further
+documents, so a small or a bad source can't make its own rules. The fences are joined back.
+
+Null or empty texts have no words and fail the base rule. Null languages and sources are groups of
+their own. Repeated rows are judged one by one, ties can't occur, texts of any length are read whole, and
+columns of other names than doc_id, text, lang and source are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm.common import attach, materialise
 
-#: A fence never falls below these: per mille of symbols per word character, of duplicate
-#: lines per line, of repeated words per word, and ten times the mean word length.
-FLOORS = {"symbol": 50, "dup_line": 500, "repeat": 200, "word_len": 150}
-#: A fence is this many times the quantile of its group, if that is more than the floor.
+#: Per rule, the percentages whose quantiles show the spread below and above the median: above, no
+#: more than may be expected of clean documents. And how far a fence stands off without any spread: per
+#: mille of symbols per word character, duplicate lines per line, repeated words per word; ten times
+#: the mean word length.
+SPREADS = {"symbol": (5, 85), "dup_line": (5, 97), "repeat": (5, 95), "word_len": (5, 95)}
+GUARDS = {"symbol": 20, "dup_line": 150, "repeat": 60, "word_len": 15}
+#: A fence is so many times the spread beyond the quantile.
 STRETCH = 3
-#: Of a group in which fewer than a quarter are bad, this quantile shows what is usual there.
-QUANTILE = 0.75
-#: Groups of fewer documents use the fences of the merged sketch of all groups.
-MIN_GROUP = 30
+#: Documents that the merged sketch counts for in every group.
+PRIOR = 50
 
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -126,34 +132,37 @@ def sketches(measured: DataFrame) -> DataFrame:
     return found.groupBy("lang", "source", F.col("x.rule").alias("rule"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quantile(bins: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """Per key and rule, the top of the first bin that reaches the share ``q`` of the rows."""
+def per_rule(values: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in values.items()])
+
+
+def quantiles(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and rule: low, mid and high, the tops of the first bins that reach the rule's percentages, and total."""
     group = Window.partitionBy(*keys, "rule")
     run = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    reached = run.where(F.col("upto") * 1000 >= F.col("total") * round(q * 1000))
-    return reached.groupBy(*keys, "rule").agg(bin_top(F.min("bin")).alias("value"), F.first("total").alias("total"))
+    shares = {"low": per_rule({k: v[0] for k, v in SPREADS.items()}), "mid": F.lit(50), "high": per_rule({k: v[1] for k, v in SPREADS.items()})}
+    reached = [bin_top(F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("bin")))).alias(name) for name, share in shares.items()]
+    return run.groupBy(*keys, "rule").agg(*reached, F.first("total").alias("total"))
 
 
 def fences(bins: DataFrame) -> DataFrame:
-    """Per lang and source one column per rule; small groups take those of the merged sketch."""
-    floor = F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in FLOORS.items()])
-    merged = quantile(bins.groupBy("rule", "bin").agg(F.sum("n").alias("n")), [], QUANTILE).select("rule", F.col("value").alias("all_value"))
-    own = quantile(bins, ["lang", "source"], QUANTILE).join(F.broadcast(merged), "rule")  # a row per rule
-    value = F.when(F.col("total") < MIN_GROUP, F.col("all_value")).otherwise(F.col("value"))
-    fence = own.select("lang", "source", "rule", F.greatest(floor, STRETCH * value).cast("long").alias("fence"))
-    return fence.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"{k}_fence") for k in FLOORS])
+    """Per lang and source the columns <rule>_low and <rule>_high."""
+    names = ("low", "mid", "high")
+    merged = quantiles(bins.groupBy("rule", "bin").agg(F.sum("n").alias("n")), []).select("rule", *[F.col(c).alias(f"all_{c}") for c in names])
+    guard = per_rule(GUARDS)
+    own = quantiles(bins, ["lang", "source"]).join(F.broadcast(merged), "rule").withColumn("guard", guard)  # a row per rule
+    for c in names:  # a group's quantiles count up to twice the merged ones
+        own = own.withColumn(c, F.expr(f"(total * least({c}, 2 * all_{c} + guard) + {PRIOR} * all_{c}) div (total + {PRIOR})"))
+    ends = {"low": F.expr(f"low - {STRETCH} * (mid - low) - guard"), "high": F.expr(f"high + {STRETCH} * (high - mid) + guard")}
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, end)).cast("long").alias(f"{k}_{c}") for k in SPREADS for c, end in ends.items()])
 
 
 def judge(documents: DataFrame) -> DataFrame:
-    """Per document: the counts, base_failed, and kept: no base failure and no measure above its group's fence."""
-    measured = materialise(measures(documents))
-    limits = fences(sketches(measured)).withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    """Per document: the counts, base_failed, and kept: no base failure and all measures within its group's fences."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = None
-    for k, v in rates().items():
-        ok = v <= F.col(f"{k}_fence")
-        inside = ok if inside is None else inside & ok
-    return attach(measured, limits, same).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), *[f"{k}_fence" for k in FLOORS]
-    )
+    measured = materialise(measures(documents).withColumn("base_failed", failed))
+    limits = fences(sketches(measured.where("not base_failed"))).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    inside = reduce(lambda x, y: x & y, [v.between(F.col(f"{k}_low"), F.col(f"{k}_high")) for k, v in rates().items()])
+    ends = [f"{k}_{c}" for k in SPREADS for c in ("low", "high")]
+    return attach(measured, limits, same, "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"), *ends)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import html, linededup, mixing, neardup, packing, pii, quality, secrets, sql, topk, toxicity
 from lodestar.llm.common import table
+from lodestar.llm.tokens import vocabulary
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY = vocabulary("byte_bpe_50k.json")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": sql.OP1,
         "op5_mixing": sql.OP5,
-        "op6_quality": sql.quality(quality.FLOORS, quality.STRETCH, quality.QUANTILE, quality.MIN_GROUP),
+        "op6_quality": sql.quality(quality.SPREADS, quality.GUARDS, quality.STRETCH, quality.PRIOR),
         "op9_linededup": sql.OP9,
     }

@@ -21,10 +21,10 @@ OP5 = (
     "with docs as (select doc_id, source, text from documents),"
     + MIX
     + """
-select doc_id, size, source_size, target, taken, case when taken > 0 then round(case rank % 3
+select doc_id, size, source_size, target, taken, case when taken > 0 then case rank % 3
     when 0 then 2 * share / (1 + sqrt(1.0))
     when 1 then 2 * share / (1.5 + sqrt(2.25 - 2 * share))
-    else 2 * share / (0.5 + sqrt(0.25 + 2 * share)) end, 9) end as position
+    else 2 * share / (0.5 + sqrt(0.25 + 2 * share)) end end as position
 from mixed
 """
 )
@@ -49,13 +49,17 @@ RATES = {
 }
 
 
-def quality(floors: dict[str, int], stretch: int, quantile: float, least: int) -> str:
+def quality(spreads: dict[str, tuple[int, int]], guards: dict[str, int], stretch: int, prior: int) -> str:
     """Measures, histogram sketches by language and source, fences and the verdict."""
-    rules = " union all ".join(f"select lang, source, '{k}' as rule, {v} as v from measured" for k, v in RATES.items())
-    floor = "case rule " + " ".join(f"when '{k}' then {v}" for k, v in floors.items()) + " end"
-    fences = ", ".join(f"max(fence) filter (rule = '{k}')::bigint as {k}_fence" for k in floors)
-    inside = " and ".join(f"{v} <= {k}_fence" for k, v in RATES.items())
-    top = "case when b < 64 then b else ((b - 64) % 32 + 33 << ((b - 64) // 32 + 1)) - 1 end"
+    rules = " union all ".join(f"select lang, source, '{k}' as rule, {v} as v from measured where not base_failed" for k, v in RATES.items())
+    low, high, guard = ("case rule " + " ".join(f"when '{k}' then {v}" for k, v in found.items()) + " end" for found in ({k: v[0] for k, v in spreads.items()}, {k: v[1] for k, v in spreads.items()}, guards))
+    ends = [f"{k}_{c}" for k in spreads for c in ("low", "high")]
+    fences = ", ".join(f"max({c}_fence) filter (rule = '{k}')::bigint as {k}_{c}" for k in spreads for c in ("low", "high"))
+    inside = " and ".join(f"{v} between {k}_low and {k}_high" for k, v in RATES.items())
+    reached = ", ".join(f"min(b) filter (upto * 100 >= total * ({share})) as {c}" for c, share in (("low", low), ("mid", "50"), ("high", high)))
+    top = lambda b: f"case when {b} < 64 then {b} else (({b} - 64) % 32 + 33 << (({b} - 64) // 32 + 1)) - 1 end"
+    tops = ", ".join(f"{top(c)} as {c}" for c in ("low", "mid", "high"))
+    drawn = ", ".join(f"(total * least(o.{c}, 2 * m.{c} + {guard.replace('rule', 'o.rule')}) + {prior} * m.{c}) // (total + {prior}) as {c}" for c in ("low", "mid", "high"))
     return rf"""
 with docs as (
     select row_number() over () as id, doc_id, lang, source, coalesce(text, '') as t,
@@ -64,25 +68,26 @@ with docs as (
 places as (select id, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) >= 5),
 grams as (select id, i, count(*) over (partition by id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) as n from places),
 repeats as (select id, count(distinct i + k) as n from grams, range(0, 5) r(k) where n > 1 group by id),
-measured as (
+counted as (
     select docs.id, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
         coalesce(repeats.n, 0) as n_repeat_words from docs left join repeats using (id)),
+measured as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted),
 rated as ({rules}),
 bins as (select lang, source, rule, case when v < 64 then v else 64 + (length(bin(v)) - 7) * 32 + (v >> (length(bin(v)) - 6)) - 32 end as b, count(*) as n from rated group by all),
 run as (select *, sum(n) over (partition by lang, source, rule order by b) as upto, sum(n) over (partition by lang, source, rule) as total from bins),
-own as (select lang, source, rule, min(b) filter (upto * 1000 >= total * {round(quantile * 1000)}) as b, max(total) as total from run group by all),
+own_bins as (select lang, source, rule, {reached}, max(total)::bigint as total from run group by lang, source, rule),
+own as (select lang, source, rule, total, {tops} from own_bins),
 pooled as (select rule, b, sum(n) as n from bins group by all),
 pooled_run as (select *, sum(n) over (partition by rule order by b) as upto, sum(n) over (partition by rule) as total from pooled),
-merged as (select rule, min(b) filter (upto * 1000 >= total * {round(quantile * 1000)}) as b from pooled_run group by all),
-limits as (
-    select lang, source, rule, greatest({floor}, {stretch} * ({top})) as fence
-    from (select own.lang, own.source, own.rule, case when own.total < {least} then merged.b else own.b end as b from own join merged using (rule))),
+merged_bins as (select rule, {reached} from pooled_run group by rule),
+merged as (select rule, {tops} from merged_bins),
+drawn as (select o.lang, o.source, o.rule, {drawn} from own o join merged m using (rule)),
+limits as (select *, low - {stretch} * (mid - low) - ({guard}) as low_fence, high + {stretch} * (high - mid) + ({guard}) as high_fence from drawn),
 wide as (select lang, source, {fences} from limits group by all)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
-    n_repeat_words::bigint as n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and {inside} as kept, {", ".join(f"{k}_fence" for k in floors)}
-from measured m join wide x on m.lang is not distinct from x.lang and m.source is not distinct from x.source
+    n_repeat_words::bigint as n_repeat_words, base_failed, coalesce(not base_failed and {inside}, false) as kept, {", ".join(ends)}
+from measured m left join wide x on m.lang is not distinct from x.lang and m.source is not distinct from x.source
 """
 
 

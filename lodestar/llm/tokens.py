@@ -9,13 +9,22 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids one worker remembers; beyond it, it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 
 #: A space before white space or the end: there a space does not begin a token of its own.
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; only its name, where the package of those files is missing."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return name
+    return public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=4)
 def ranked(vocabulary: str):
     """A tiktoken encoding of the merges in a tokenizers file, with its special tokens."""

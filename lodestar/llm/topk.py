@@ -32,7 +32,7 @@ K = 20
 SCALE = 64
 #: Every so many ids are queries.
 EVERY = 20
-#: Pivots, and rows that the first thresholds and the pivots come from, at most.
+#: Pivots, and about how many rows, chosen by hash, the first thresholds and the pivots come from.
 PIVOTS = 24
 SAMPLE = 4096
 QUERY_BLOCK = 20_000
@@ -148,7 +148,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query, both with columns vec_id and v."""
     spark = candidates.sparkSession
     asked = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
-    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()  # SAMPLE rows at most
+    every = max(1, candidates.count() // SAMPLE)
+    sample = candidates.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(every)) == 0).limit(4 * SAMPLE).collect()  # about SAMPLE rows
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     number = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks))

@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
 Words, their beginnings and their endings score the log-odds of toxic against other documents under
-a Dirichlet prior, a word the best of its own; words without a clear tendency score a little below
-zero. A linear scan finds every maximal scoring segment. Under the other documents' word distribution
+a Dirichlet prior, a word the best of its own where that is clear; other words score their own log-odds,
+where these are known and below zero, and a little less than zero in any case. A linear scan finds every
+maximal scoring segment. Under the other documents' word distribution
 the best segments' scores follow an extreme-value law: its lambda solves sum p * exp(lambda * s) = 1,
 its K is fitted, and the sum statistics of a document's best segments give a p-value, which a logistic
 curve turns into a probability.
@@ -10,8 +11,10 @@ curve turns into a probability.
 Learning takes at most ``TRAIN_ROWS`` labelled documents, the first in md5 order of those allowed:
 word scores from about two thirds, the curve from the rest, so that it sees unseen documents.
 Scoring covers all documents and whole texts. Null texts are empty and score as texts without words.
-Null ids have no label and aren't held out. Repeated rows score alike. Without labels of both classes
-every score is 0. An empty table gives an empty result.
+Null ids have no label and aren't held out. Repeated rows score alike; of rows that share an id, training
+takes the one text that is least by its hash. Segments that tie stand by place. Columns of other names
+pass through or are ignored. Without labels of both classes every score is 0. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +34,6 @@ from lodestar.llm.common import hash_order, ids_and_texts, map_arrow, materialis
 
 #: Labelled documents that training reads at most.
 TRAIN_ROWS = 20_000
-#: Features (words, beginnings, endings) that the model holds at most, those with the clearest tendency.
-MODEL_FEATURES = 20_000
-#: Features of toxic documents that are counted in the others at most, the commonest.
-CANDIDATES = 100_000
 #: Characters of the beginnings and endings of longer words.
 AFFIXES = (4, 5, 6)
 #: Pseudo-documents of each class, spread over the features as all documents are.
@@ -43,11 +42,11 @@ PRIOR = 50.0
 #: what only a few copies of a document have in common is no tendency.
 CLEAR, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 13.0, 2.5, 3, 0.015
 MOST_ODDS = 8.0
-#: What a word without a clear tendency scores.
-REST = -0.05
+#: What a word of no known tendency scores, and the least log-odds that add to it.
+REST, LEAST_WORD = -0.05, -1.0
 CUTOFF = 0.3
 #: Words whose scores a worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -58,19 +57,20 @@ def features(word: str) -> list[str]:
 
 
 class Scores(dict):
-    """Score of a word, 0 without a clear tendency; remembers what it has looked up."""
+    """Score of a word, above 0 only with a clear tendency; remembers what it has looked up."""
 
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
+    def __init__(self, odds: dict[str, float], words: dict[str, float] | None = None):
+        self.odds, self.words = odds, words or {}
 
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        score = self[word] = max(self.odds.get(f, 0.0) for f in features(word))
+        clear = max(self.odds.get(f, 0.0) for f in features(word))
+        score = self[word] = clear or REST + max(LEAST_WORD, self.words.get(word, 0.0))
         return score
 
     def __reduce__(self):
-        return Scores, (self.odds,)
+        return Scores, (self.odds, self.words)
 
 
 @dataclass(frozen=True)
@@ -95,18 +95,18 @@ def inputs(evidence: float, n: int) -> tuple[float, float, float]:
     return 1.0, min(evidence, 40.0) / 10, math.log1p(n) / 10
 
 
-def segments(hits: list[tuple[int, float]], rest: float = REST) -> list[tuple[float, int, int]]:
+Hit = tuple[int, float, float]  # place and score of a word above zero, and the sum of all scores before it
+
+
+def segments(hits: list[Hit]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first word, last word) of a text, in one pass.
 
-    ``hits``: place and score of the words that score above zero; all between score ``rest``.
     A stack holds candidates with the sums left and right of them; one that improves on an
     earlier candidate absorbs it.
     """
     stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
-    total, last = 0.0, -1
-    for place, score in hits:
-        total += rest * (place - last - 1)
-        left, right, first = total, total + score, place
+    for place, score, before in hits:
+        left, right, first = before, before + score, place
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][0] >= left:
@@ -116,27 +116,37 @@ def segments(hits: list[tuple[int, float]], rest: float = REST) -> list[tuple[fl
             left, first = stack[k][0], stack[k][2]
             del stack[k:]
         stack.append((left, right, first, place))
-        total += score
-        last = place
     return [(right - left, first, end) for left, right, first, end in stack]
 
 
+def hits_among(scores: Iterable[float]) -> tuple[list[Hit], float]:
+    """The hits of a text's scores, and the sum of all."""
+    hits, total = [], 0.0
+    for place, score in enumerate(scores):
+        if score > 0:
+            hits.append((place, score, total))
+        total += score
+    return hits, total
+
+
 def passages(text: str, model: Model, level: float = 0.05) -> list[tuple[int, int, float]]:
     """Significant toxic passages as (start, end, score), code points, end exclusive."""
     spans = [m.span() for m in WORD.finditer(text)]
-    hits = [(k, s) for k, s in enumerate(model.scores[text[a:b].lower()] for a, b in spans) if s]
+    hits, _ = hits_among(model.scores[text[a:b].lower()] for a, b in spans)
     cost = model.log_k + math.log(max(len(spans), 1))
     return [(spans[a][0], spans[b][1], s) for s, a, b in segments(hits) if -math.expm1(-math.exp(min(50.0, cost - model.lam * s))) <= level]
 
 
-def hits_of(text: str, scores: Scores) -> tuple[list[tuple[int, float]], int]:
+def hits_of(text: str, scores: Scores) -> tuple[list[Hit], int, float]:
+    """A text's hits, its number of words and the sum of their scores."""
     words = WORD.findall(text.lower())
-    return [(k, s) for k, s in enumerate(map(scores.__getitem__, words)) if s], len(words)
+    hits, total = hits_among(map(scores.__getitem__, words))
+    return hits, len(words), total
 
 
 def best_sums(text: str, scores: Scores) -> tuple[list[float], int]:
     """The segments' scores, best first, and the number of words."""
-    hits, n = hits_of(text, scores)
+    hits, n, _ = hits_of(text, scores)
     return sorted((s for s, _, _ in segments(hits)), reverse=True), n
 
 
@@ -163,7 +173,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFra
     allowed = known.where(bucket(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = allowed.orderBy(hash_order(F.col("doc_id"))).limit(most)
     sample = sample.withColumn("part", F.when(bucket(F.col("doc_id")) == 3, 1).otherwise(0))
-    return ids_and_texts(documents).join(F.broadcast(sample), "doc_id")  # at most ``most`` rows of three numbers
+    rows = ids_and_texts(documents).join(F.broadcast(sample), "doc_id")  # at most ``most`` rows of three numbers
+    return rows.groupBy("doc_id", "toxic", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def count_features(rows: DataFrame, known: set[str] | None = None) -> DataFrame:
@@ -180,39 +191,40 @@ def count_features(rows: DataFrame, known: set[str] | None = None) -> DataFrame:
     return map_arrow(rows.select("text"), run, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
 
 
-def feature_odds(rows: DataFrame, toxic_docs: int, other_docs: int) -> dict[str, float]:
-    """Log-odds of the features with a clear tendency to toxic documents.
+def feature_odds(rows: DataFrame, toxic_docs: int, other_docs: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Log-odds of the features with a clear tendency to toxic documents; and of words that tend away.
 
-    Only features of enough toxic documents can have one, so only those are counted in the others.
+    Only features of enough toxic documents are counted in the others: no other can be clear.
     """
     least = max(LEAST_DOCS, LEAST_SHARE * toxic_docs)
-    common = count_features(rows.where("toxic = 1")).where(F.col("docs") >= least).orderBy(F.desc("docs"), "feature").limit(CANDIDATES)
-    in_toxic = {r["feature"]: r["docs"] for r in common.collect()}
+    in_toxic = {r["feature"]: r["docs"] for r in count_features(rows.where("toxic = 1")).where(F.col("docs") >= least).collect()}
     in_other = {r["feature"]: r["docs"] for r in count_features(rows.where("toxic = 0"), set(in_toxic)).collect()}
-    total, found = toxic_docs + other_docs, []
+    total, found, words = toxic_docs + other_docs, {}, {}
     for feature, d1 in in_toxic.items():
         d0 = in_other.get(feature, 0)
         alpha = (d0 + d1) / total * PRIOR
         odds = math.log((d1 + alpha) / (toxic_docs + PRIOR - d1 - alpha + 1)) - math.log((d0 + alpha) / (other_docs + PRIOR - d0 - alpha + 1))
         clear = 2 * sum(d * math.log(d * total / ((d0 + d1) * n)) for d, n in ((d1, toxic_docs), (d0, other_docs)) if d)
         if clear >= CLEAR and odds >= LEAST_ODDS:
-            found.append((-clear, feature, min(odds, MOST_ODDS)))
-    return {feature: odds for _, feature, odds in sorted(found)[:MODEL_FEATURES]}
+            found[feature] = min(odds, MOST_ODDS)
+        elif odds < 0 and feature[0] != "^" and feature[-1] != "$":
+            words[feature] = odds
+    return found, words
 
 
-def solve_lambda(counts: Counter, total: int) -> float:
-    """The positive root of sum p * exp(lambda * s) = 1; p from counts, the rest scores ``REST``."""
+def solve_lambda(counts: Counter, total: int, rest: float) -> float:
+    """The positive root of sum p * exp(lambda * s) = 1; p from counts, other words score ``rest`` on average."""
     scores = sorted(counts.items())
     seen = sum(n for _, n in scores)
     if not seen or total <= seen:
         return 1.0
-    mean = (sum(s * n for s, n in scores) + REST * (total - seen)) / total
+    mean = (sum(s * n for s, n in scores) + rest * (total - seen)) / total
     if mean >= 0:
         return 0.1
     low, high = 1e-6, 50.0
     for _ in range(200):
         mid = (low + high) / 2
-        value = sum(n / total * math.exp(min(700.0, mid * s)) for s, n in scores) + (1 - seen / total) * math.exp(mid * REST)
+        value = sum(n / total * math.exp(min(700.0, mid * s)) for s, n in scores) + (1 - seen / total) * math.exp(mid * rest)
         low, high = (mid, high) if value < 1 else (low, mid)
     return low
 
@@ -233,26 +245,29 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mo
     sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
     if not all(sizes.get((0, t)) for t in (0, 1)):
         return Model(Scores({}), 1.0, 0.0, ())
-    scores = Scores(feature_odds(rows.where("part = 0"), sizes[0, 1], sizes[0, 0]))
+    scores = Scores(*feature_odds(rows.where("part = 0"), sizes[0, 1], sizes[0, 0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [hits_of(t or "", scores) for t in batch.column(0).to_pylist()]
-            hits = pa.array([[s for _, s in h] for h, _ in found], pa.list_(pa.float64()))
-            sums = pa.array([sorted((s for s, _, _ in segments(h)), reverse=True) for h, _ in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for _, n in found], pa.int64()), sums, hits], names=["toxic", "part", "n", "sums", "hits"])
+            hits = pa.array([[s for _, s, _ in h] for h, _, _ in found], pa.list_(pa.float64()))
+            sums = pa.array([sorted((s for s, _, _ in segments(h)), reverse=True) for h, _, _ in found], pa.list_(pa.float64()))
+            n, total = (pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.float64())))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, sums, hits, total], names=["toxic", "part", "n", "sums", "hits", "total"])
 
     # of at most ``most`` documents, the few words that score
-    measured = sorted(tuple(r) for r in map_arrow(rows, measure, "toxic int, part int, n long, sums array<double>, hits array<double>").collect())
-    background = [(n, sums, hits) for toxic, part, n, sums, hits in measured if not toxic and not part]
-    lam = solve_lambda(Counter(round(s, 3) for *_, hits in background for s in hits), sum(n for n, *_ in background))
+    measured = sorted(tuple(r) for r in map_arrow(rows, measure, "toxic int, part int, n long, sums array<double>, hits array<double>, total double").collect())
+    background = [row[2:] for row in measured if not row[0] and not row[1]]
+    words, hit = sum(n for n, *_ in background), [s for _, _, hits, _ in background for s in hits]
+    rest = (math.fsum(total for *_, total in background) - math.fsum(hit)) / max(1, words - len(hit))
+    lam = solve_lambda(Counter(round(s, 3) for s in hit), words, rest)
     # the mean of a Gumbel variable is its location and Euler's constant
-    tops = [lam * sums[0] - math.log(n) for n, sums, _ in background if sums]
+    tops = [lam * sums[0] - math.log(n) for n, sums, *_ in background if sums]
     log_k = max(math.log(1e-3), min(0.0, float(np.mean(tops)) - 0.5772)) if tops else math.log(0.1)
     curve = [row for row in measured if row[1]]
     if len({toxic for toxic, *_ in curve}) < 2:
         curve = measured
-    return Model(scores, lam, log_k, fit_curve([(evidence(sums, n, lam, log_k), n, toxic) for toxic, _, n, sums, _ in curve]))
+    return Model(scores, lam, log_k, fit_curve([(evidence(sums, n, lam, log_k), n, toxic) for toxic, _, n, sums, *_ in curve]))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -278,8 +293,8 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [model.value.probability(t or "") < CUTOFF for part in slices([batch]) for t in part.column(place).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for part in slices(batches):
+            kept = [model.value.probability(t or "") < CUTOFF for t in part.column(place).to_pylist()]
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return map_arrow(documents, run, documents.schema)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html as entities
 import re
+import time
 import zlib
 
 import numpy as np
@@ -91,6 +92,33 @@ def test_html_templates():
     assert html.main_text("", {}) == "" and html.main_text("<p></p><br>", {}) == "" and html.main_text("plain words", {}) == "plain words"
 
 
+def test_html_names():
+    def main(inside):
+        return html.main_text(f"<body><article><p>{'a long first paragraph ' * 9}</p>{inside}<p>{'and a long last one ' * 9}</p></article></body>", {})
+
+    for kept in ("<div class='share-price'>kept</div>", "<p class=ad-hoc>kept</p>", "<div id='notice_of_sale'>kept</div>"):
+        assert "kept" in main(kept), kept
+    for gone in ("<div class='share-buttons'>gone</div>", "<div class=ad-slot-300x250>gone</div>", "<article class=comment>gone</article>", "<div class='user-comments list'>gone</div>", "<aside>gone</aside>"):
+        assert "gone" not in main(gone), gone
+
+
+@pytest.mark.parametrize("unit", ["<a x='", "<a x=\"", "<a ", "<!", "<!--", "<script", "<p class='x", "</", "<a '<b\"", "<div>", "<"])
+def test_html_hostile_pages_take_linear_time(unit):
+    began = time.perf_counter()
+    html.main_text(unit * (1_000_000 // len(unit)), {})
+    assert time.perf_counter() - began < 20
+
+
+def test_region_is_the_best():
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        page = [html.Unit("word", "word", "x", int(rng.integers(1, 4))) if rng.random() < 0.5 else html.Unit("tag", "div", "div") for _ in range(12)]
+        weight = [u.size * (1.0 if u.kind == "word" else -2.0) for u in page]
+        best = max([0.0, *(sum(weight[a : b + 1]) for a in range(12) for b in range(a, 12))])
+        first, last = html.region(page, {"word": 1.0, "div": -2.0})
+        assert sum(weight[first : last + 1]) == best
+
+
 def test_html_learns():
     page = "<body><div class=x>{0}</div><article><p>{1}</p></article><div class=y>{0}</div></body>".format("one two three four five six seven", " ".join(["word"] * 30))
     weights = html.train([page] * 5)
@@ -168,6 +196,14 @@ def test_pii_base(spark, documents, texts):
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
+def test_pii_shapes():
+    text = "card: 4111 1111 1111 1111"
+    number = pii.pattern_of(text, 2, 6, len(text))
+    bare, shape = pii.shape_of(number)
+    assert tuple(shape) == pii.shape("card: ", text[6:]) == (2, 1, 2, 1)
+    assert pii.votes_of(bare) == (2, [1, 1, 1, 1])
+
+
 def test_pii_learns_reliabilities():
     """A labeler that is right nine times in ten outweighs one that guesses."""
     rng = np.random.default_rng(0)
@@ -221,16 +257,25 @@ def test_quality_bins(spark):
 def test_segments_are_maximal():
     rng = np.random.default_rng(3)
     for _ in range(200):
-        n = 12
-        hits = [(k, float(rng.uniform(0.1, 3))) for k in range(n) if rng.random() < 0.5]
-        scores = np.full(n, -0.7)
-        for k, s in hits:
-            scores[k] = s
-        found = toxicity.segments(hits, rest=-0.7)
-        best = max([0, *(scores[a : b + 1].sum() for a in range(n) for b in range(a, n))])
-        assert max([0, *(s for s, _, _ in found)]) == pytest.approx(best)
-        assert all(s == pytest.approx(scores[a : b + 1].sum()) for s, a, b in found)
+        scores = np.where(rng.random(12) < 0.5, rng.uniform(0.1, 3, 12), -rng.uniform(0.05, 1.5, 12))
+        hits, total = toxicity.hits_among(scores.tolist())
+        found = toxicity.segments(hits)
+        sums = {(a, b): scores[a : b + 1].sum() for a in range(12) for b in range(a, 12)}
+        assert total == pytest.approx(scores.sum()) and len(hits) == (scores > 0).sum()
+        assert max([0, *(s for s, _, _ in found)]) == pytest.approx(max(0, *sums.values()))
+        assert all(s == pytest.approx(sums[a, b]) for s, a, b in found)
         assert all(x[2] < y[1] for x, y in zip(found, found[1:]))
+        for s, a, b in found:  # no part of it is better, nor does it begin or end in a loss
+            assert all(sums[c, d] <= s + 1e-9 for c in range(a, b + 1) for d in range(c, b + 1))
+            assert all(sums[a, d] > 0 and sums[d, b] > 0 for d in range(a, b + 1))
+
+
+def test_score_statistics():
+    """The root of the law, and the p-value of the best segment alone: minus its log is lambda * s - log(K n)."""
+    lam = toxicity.solve_lambda(collections.Counter({1.0: 10, 3.0: 2}), 100, -0.5)
+    assert 0.10 * np.exp(lam) + 0.02 * np.exp(3 * lam) + 0.88 * np.exp(-0.5 * lam) == pytest.approx(1, abs=1e-6)
+    assert toxicity.evidence([10.0], 50, lam, -1.0) == pytest.approx(max(0, lam * 10 - np.log(50) + 1))
+    assert toxicity.evidence([], 50, lam, -1.0) == 0
 
 
 def test_toxicity_held_out(spark):
