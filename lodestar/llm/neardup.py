@@ -14,10 +14,12 @@ classes only those go on whose longer sketches agree nearly enough. Pairs are ve
 weighted Jaccard overlap of 64-bit shingle hashes. The join across classes is by bucket, which Spark
 splits where one is large.
 
-Words are split at ASCII white space. Texts of equal shingles are one text. Texts of fewer than five words are one shingle; texts without
-words and nulls have no class but their own. Rows of a null id are kept and have a null class.
-Rows that share an id are judged by their texts: only rows of the same id and text are one. An empty
-table gives an empty result.
+Words are split at ASCII white space. Texts of equal shingles are one text. Texts of fewer than five
+words are one shingle; texts without words and nulls have no class but their own. Rows of a null id are
+kept and have a null class. Rows that share an id are judged by their texts: only rows of the same id and
+text are one, and of them any one stays, for their other columns don't count. Of a class the least id
+stays. Very long texts are read whole, by slices of bounded size. Columns of other names pass through. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BROADCAST_ROWS, ids_and_texts, map_arrow, materialise, slices
+from lodestar.llm.common import BROADCAST_ROWS, forget, free_shuffles, ids_and_texts, map_arrow, materialise, slices
 from lodestar.llm.graph import components
 from lodestar.llm.shingles import FACTOR, STEP, as_set, bags, common, mix
 
@@ -216,12 +218,14 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = materialise(buckets.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     held = materialise(bags_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     labels = materialise(components(verify(pairs, held, similarity)))
+    free_shuffles(documents.sparkSession)
     several = buckets.where("members > 2").select("band", "node")  # in a bucket of two, that pair has been tried
     for turn in range(1, LEADER_ROUNDS + 1):
         few = labels.count() <= 10 * BROADCAST_ROWS
         found = materialise(verify(next_pairs(several, labels, few, turn, held, similarity), held, similarity))
         if not found.isEmpty():
             labels = materialise(merged(labels, found, few))
+    forget(buckets, pairs, held)
     labels = F.broadcast(labels) if labels.count() <= 10 * BROADCAST_ROWS else labels
     own = labelled(signed.groupBy("key").agg(F.min("doc_id").alias("node")), labels, False).select("key", F.col("label").alias("class_id"))
     return signed.select("doc_id", "key").join(own, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -7,8 +7,9 @@ it, resolves conflicts by rank (a run's first ranks win a gap run's first sequen
 gaps and repeats. There are no more runs than lengths, whatever the corpus, so the sweep needs
 constant memory; counting lengths, ranking pieces and placing them are distributed.
 
-Null and empty texts are documents of the end token only. Repeated rows are packed one by one.
-An empty table gives an empty result. Texts without white space are encoded as one unit.
+Null and empty texts are documents of the end token only. Repeated rows are packed one by one; pieces of
+equal length stand in a fixed order by their ids and numbers, so ties don't matter. Texts without white
+space are encoded as one unit. Columns of other names are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

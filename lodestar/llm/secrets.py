@@ -8,7 +8,8 @@ Rare and compound words come near the ratio of keys, so a string of letters of o
 capitals, needs a lower one; one of mixed cases does not.
 
 Null texts count as empty: no spans. Documents are independent, so repeated rows, ties of doc_id
-and very long texts need no care; an empty table gives an empty result.
+and very long texts need no care; columns of other names are ignored, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

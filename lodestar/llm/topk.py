@@ -12,7 +12,7 @@ candidates, which stay where they are. A task keeps k rows per query of the bloc
 Rows whose id or vector is null, or whose vector holds null or non-finite components or has another
 length than the queries', take no part. Repeated rows are candidates one by one; a query id that
 repeats is asked once, with its first vector in sort order, and no row of that id answers it.
-Ties go to the smaller id. An empty table gives an empty result.
+Ties go to the smaller id. Columns of other names are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,11 +1,15 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import html, linededup, mixing, neardup, packing, pii, quality, secrets, topk, toxicity
+from lodestar.llm import html, linededup, mixing, neardup, packing, pii, quality, secrets, tokens, topk, toxicity
 from lodestar.llm.queries import VOCABULARY
+from tests.llm.test_operators import WORD, brute_classes, brute_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, class_id long, bands string, key string, line int, k1 long, first long, rank int, node long, a long, b long, version long, stream long, position double, taken long, __none string"
 LONG = " ".join(f"w{k % 977}" for k in range(60_000)) + "\n" + "x" * 50_000
@@ -89,7 +93,30 @@ def test_stages_keep_columns(spark, labels, tmp_path):
         assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
 
 
+def cut(text, words):
+    return text[: [m.end() for m in WORD.finditer(text)][words - 1]]
+
+
 def test_pipeline(spark, small):
-    rows = corpus_pipeline.run(spark, small).toPandas()
-    ends = rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length.sum()
-    assert len(rows) and ends.max() <= 2048
+    """The pieces of run() against the stages by brute force, from the verdicts of the toxicity model on."""
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    toxic = {r.doc_id for r in toxicity.detect(documents, spark.read.parquet(f"{small}/labels.parquet")).where("predicted = 1").collect()}
+    rows = sorted((r.doc_id, r.text or "", r.source) for r in documents.collect() if r.doc_id not in toxic)
+    gone = brute_lines([r[:2] for r in rows])
+    texts = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, t, _ in rows}
+    least = brute_classes(texts)
+    texts = {k: t for k, t in texts.items() if least.get(k, k) == k}
+    kept = spark.createDataFrame([(k, texts[k], source) for k, _, source in rows if k in texts], "doc_id long, text string, source string")
+    encode, want = tokens.encoder(VOCABULARY), collections.Counter()
+    for r in mixing.mix(kept).where("taken > 0").collect():
+        for taken in range(0, r.taken, r.size):
+            words = min(r.size, r.taken - taken)
+            ids = encode(texts[r.doc_id] if words == r.size else cut(texts[r.doc_id], words)) + bytes(4)
+            n = len(ids) // 4
+            starts = [0, *range((n - 1) % 2048 + 1, n, 2048)]
+            want.update((r.doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])))
+    found = corpus_pipeline.run(spark, small).toPandas()
+    assert collections.Counter(zip(found.doc_id, found.piece, found.start, found.length, found.ids_crc32)) == want
+    ordered = found.sort_values(["sequence_id", "offset"])
+    ends = ordered.groupby("sequence_id").length.cumsum()
+    assert (ends - ordered.length == ordered.offset).all() and ends.max() <= 2048
