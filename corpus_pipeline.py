@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import linededup, mixing, neardup, packing, toxicity
-from lodestar.llm.common import materialise, table
+from lodestar.llm.common import forget, materialise, table
 from lodestar.llm.queries import VOCABULARY
 
 
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
