@@ -225,6 +225,31 @@ class Query:
     def skip_while(self, condition: Any) -> Query:
         return self._next(cut(self._df, self._total(), self._first_failure(condition), False, False))
 
+    def take_range(self, start: int, stop: int | None = None) -> Query:
+        """Elements from ``start`` up to before ``stop``; negative places count from the end."""
+        found = self.skip(start) if start >= 0 else self.take_last(-start)._restored(self)
+        if stop is None:
+            return found
+        if stop < 0:
+            return found.skip_last(-stop)
+        if start < 0:
+            raise ValueError("a place from the end can't be followed by one from the beginning")
+        return self.page(start, max(0, stop - start))
+
+    def _with_number(self, apply: Callable[[Query, Callable], Query], condition: Callable) -> Query:
+        numbered_ = self.index("__i")
+        return apply(numbered_, lambda r: condition(r, r["__i"]))._only(self.columns)
+
+    def where_indexed(self, condition: Callable[[Row, Expr], Any]) -> Query:
+        """Elements for which a condition of the element and its number holds."""
+        return self._with_number(Query.where, condition)
+
+    def take_while_indexed(self, condition: Callable[[Row, Expr], Any]) -> Query:
+        return self._with_number(Query.take_while, condition)
+
+    def skip_while_indexed(self, condition: Callable[[Row, Expr], Any]) -> Query:
+        return self._with_number(Query.skip_while, condition)
+
     def index(self, name: str = "index") -> Query:
         """Adds each element's number from 0."""
         df = numbered(self._df, self._total(), name).withColumn("__n", F.col(name))
@@ -479,6 +504,10 @@ class Query:
     def aggregate(self, of_: Any, seed: Any, step: Callable[[Column, Column], Column]) -> Any:
         return self._value(lambda g: g.fold(of_, seed, step))
 
+    def reduce(self, of_: Any, step: Callable[[Column, Column], Column]) -> Any:
+        """Fold from the first value on; of nothing it raises."""
+        return self._needed(lambda g: g.reduce(of_, step), False)
+
     def min_by(self, key: Any) -> Query:
         """The element of the least key (not null), the first of several."""
         return self._by_extreme(key, False)
@@ -663,16 +692,25 @@ class Group:
         value = F.struct(*map(quoted, self._query.columns)) if what is None else self._query._expr(what).col
         return Aggregate(F.sort_array(F.collect_list(value)), F.array())
 
-    def fold(self, what: Any, seed: Any, step: Callable[[Column, Column], Column]) -> Aggregate:
-        """Fold the values, in their order, from a seed."""
-        first = seed if isinstance(seed, Column) else F.lit(seed)
-        keys = self._query._order
-        value = self._query._expr(what).col
+    def _values(self, what: Any) -> tuple[Column, bool]:
+        """The values as an array in their order, and whether that needs the hidden columns."""
+        keys, value = self._query._order, self._query._expr(what).col
         if not keys:
-            return Aggregate(F.aggregate(F.sort_array(F.collect_list(value)), first, step), first)
+            return F.sort_array(F.collect_list(value)), False
         pairs = F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)], value.alias("v")))
         pairs = F.array_sort(pairs, in_turn([down for _, down in keys])) if any(down for _, down in keys) else F.sort_array(pairs)
-        return Aggregate(F.aggregate(F.transform(pairs, lambda p: p["v"]), first, step), first, ordered=True)
+        return F.transform(pairs, lambda p: p["v"]), True
+
+    def fold(self, what: Any, seed: Any, step: Callable[[Column, Column], Column]) -> Aggregate:
+        """Fold the values, in their order, from a seed."""
+        first = seed if isinstance(seed, Column) else F.lit(seed)
+        values, ordered = self._values(what)
+        return Aggregate(F.aggregate(values, first, step), first, ordered=ordered)
+
+    def reduce(self, what: Any, step: Callable[[Column, Column], Column]) -> Aggregate:
+        """Fold the values, in their order, from the first one; null of nothing."""
+        values, ordered = self._values(what)
+        return Aggregate(F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, F.lit(0)), step), ordered=ordered)
 
     def agg(self, **aggregates: Callable[[Group], Aggregate]) -> Query:
         found = {n: f(self) for n, f in aggregates.items()}

@@ -262,6 +262,7 @@ of("group_number_of_groups", "select count(distinct o_custkey) as n from orders"
 of("group_items", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by 1", lambda s, d: t(s, d, "nation").group_by("n_regionkey").agg(names=lambda g: g.items("n_name")).select("n_regionkey", names=lambda r: F.array_join(r.names.col, ",")).to_df())
 of("count_by", "select event_type, count(*) as n from events group by 1", lambda s, d: t(s, d, "events").count_by("event_type").to_df())
 
+of("reduce", "select string_agg(n_name, '+' order by n_name desc) as names from nation", lambda s, d: t(s, d, "nation").order_by_desc("n_name").frame(names=lambda g: g.reduce("n_name", lambda a, x: F.concat(a, F.lit("+"), x))))
 of("fold_mixed_order", "select string_agg(n_name, '' order by n_regionkey, n_name desc) as names from nation", lambda s, d: t(s, d, "nation").order_by("n_regionkey").then_by_desc("n_name").frame(names=lambda g: g.fold("n_name", "", lambda a, x: F.concat(a, x))))
 of("fold_descending", "select n_regionkey, string_agg(n_name, '' order by n_regionkey desc, n_nationkey) as names from nation group by 1", lambda s, d: t(s, d, "nation").order_by_desc("n_regionkey").aggregate_by("n_regionkey", seed="", of="n_name", step=lambda a, x: F.concat(a, x), name="names").to_df())
 
@@ -278,6 +279,11 @@ of("top_k", f"{O10} order by price desc, key limit 10", lambda s, d: orders(s, d
 WHILE = "(select o_orderkey as key, o_totalprice as price, max((not o_totalprice < 300000)::int) over (order by o_orderkey) as gone from orders)"
 of("take_while", f"select key, price from {WHILE} where gone = 0", lambda s, d: orders(s, d).order_by("key").take_while(lambda r: r.price < 300000).select("key", "price").to_df())
 of("skip_while", f"select key, price from {WHILE} where gone = 1", lambda s, d: orders(s, d).order_by("key").skip_while(lambda r: r.price < 300000).select("key", "price").to_df())
+of("take_range", f"{O10} order by price, key limit 15 offset 5", lambda s, d: orders(s, d).select("key", "price").order_by("price", "key").take_range(5, 20).to_df())
+of("take_range_from_end", f"select * from ({O10} order by price desc, key desc limit 6 offset 4)", lambda s, d: orders(s, d).select("key", "price").order_by("price", "key").take_range(-10, -4).to_df())
+of("where_indexed", "select key, price from (select o_orderkey as key, o_totalprice as price, row_number() over (order by o_totalprice, o_orderkey) - 1 as place from orders) where place % 7 = 3 and price > 50000", lambda s, d: orders(s, d).order_by("price", "key").where_indexed(lambda r, i: (i % 7 == 3) & (r.price > 50000)).select("key", "price").to_df())
+of("take_while_indexed", f"{O10} order by price, key limit 12", lambda s, d: orders(s, d).order_by("price", "key").take_while_indexed(lambda r, i: i < 12).select("key", "price").to_df())
+of("skip_while_indexed", f"{O10} order by price, key offset 12", lambda s, d: orders(s, d).order_by("price", "key").skip_while_indexed(lambda r, i: i < 12).select("key", "price").to_df())
 of("take_last", f"{O10} order by price desc, key desc limit 7", lambda s, d: orders(s, d).select("key", "price").order_by("price", "key").take_last(7).to_df())
 of("skip_last", f"{O10} order by price desc, key desc offset 7", lambda s, d: orders(s, d).select("key", "price").order_by("price", "key").skip_last(7).to_df())
 TWICE = "(select o_custkey % 10 as c from orders union all select o_custkey % 10 from orders)"

@@ -37,31 +37,45 @@ BOUNDS = {
 class Table(Query):
     """The root of queries. ``ttl``: seconds for which a listing, and the indexes over it, are kept."""
 
-    def __init__(self, spark: SparkSession, entity: Entity, source: Callable[[], Callable[[bool], DataFrame]], root: str | None = None, ttl: float = 300.0, partitions_source: Callable[[], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, entity: Entity, source: Callable[[], Callable[[bool], DataFrame]], root: str | None = None, ttl: float = 300.0, partitions_source: Callable[[], DataFrame] | None = None, statistics: Callable[[DataFrame], DataFrame] = footers.column_statistics):
+        """``partitions_source``: another listing of partitions. ``statistics``: another source of statistics: of the
+        files (path, ...) to rows as ``column_statistics`` gives."""
         self.spark, self.entity, self.root = spark, entity, root
-        self._source, self._partitions_source, self._ttl = source, partitions_source, ttl
+        self._source, self._partitions_source, self._ttl, self._statistics = source, partitions_source, ttl, statistics
         self._indexes: dict[str, ColumnIndex] = {}
         self._forget()
         self._opened = time.monotonic()
         super().__init__(source(), list(entity.columns), SCAN_ORDER, root=self)
 
     @classmethod
-    def from_path(cls, spark: SparkSession, entity: Entity, root: str, ttl: float = 300.0) -> Table:
+    def from_path(cls, spark: SparkSession, entity: Entity, root: str, ttl: float = 300.0, **hooks: Callable) -> Table:
         """A flat, Hive-partitioned or Delta-logged directory, or one file, on any Hadoop file system."""
         if not root or not root.strip():
             raise ValueError("a table needs a path")
-        return cls(spark, entity, lambda: scan(spark, root, entity), root, ttl)
+        return cls(spark, entity, lambda: scan(spark, root, entity), root, ttl, **hooks)
 
     @classmethod
     def from_azure_blob(cls, spark: SparkSession, entity: Entity, connection: str, container: str, prefix: str = "", ttl: float = 300.0) -> Table:
-        """By connection string: its key goes to the Hadoop configuration, the path is an abfss URI."""
+        """By connection string: its key or signature goes to the Hadoop configuration, the path is an abfss URI."""
         settings = account_of(connection)
         account = settings.get("AccountName")
         if not account or not container:
             raise ValueError("a blob table needs an account name and a container")
+        found = {}
         if key := settings.get("AccountKey"):
-            spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.azure.account.key.{account}.dfs.core.windows.net", key)
-        return cls.from_path(spark, entity, blob_uri(account, container, prefix), ttl)
+            found["fs.azure.account.key"] = key
+        elif signature := settings.get("SharedAccessSignature"):
+            found |= {"fs.azure.account.auth.type": "SAS", "fs.azure.sas.fixed.token": signature}
+        return cls.from_azure_container(spark, entity, account, container, prefix, found, ttl, f"dfs.{settings.get('EndpointSuffix', 'core.windows.net')}")
+
+    @classmethod
+    def from_azure_container(cls, spark: SparkSession, entity: Entity, account: str, container: str, prefix: str = "", settings: dict[str, str] | None = None, ttl: float = 300.0, host: str = "dfs.core.windows.net") -> Table:
+        """With the credentials that the Hadoop configuration has, or with ``settings`` of the account for it (a token
+        provider's, say), named as there without the account."""
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name, value in (settings or {}).items():
+            conf.set(f"{name}.{account}.{host}", value)
+        return cls.from_path(spark, entity, blob_uri(account, container, prefix, host), ttl)
 
     @classmethod
     def from_frame(cls, df: DataFrame, entity: Entity | None = None) -> Table:
@@ -174,7 +188,7 @@ class Table(Query):
         return footers.row_groups(self.files())
 
     def column_statistics(self) -> DataFrame:
-        return footers.column_statistics(self.files())
+        return self._statistics(self.files())
 
     def columns_of_files(self) -> list[str]:
         return [f.name for f in self._lean.schema.fields if not f.name.startswith("__")]

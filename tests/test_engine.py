@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar import Column, Entity, Table, lit
 from lodestar.functions.convert import ConversionError
 from lodestar.operators.query import EmptyError, ManyError
-from lodestar.sources import delta
+from lodestar.sources import delta, footers
 from lodestar.sources.paths import account_of, blob_uri, is_parquet, normalise_prefix, parse_partition_values
 from lodestar.sources.scan import MissingColumn
 
@@ -177,6 +177,44 @@ def test_log_values_of_equal_names(spark, tmp_path):
     assert sorted((r.id, r.y) for r in table.to_list()) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
+def test_azure_credentials(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(Table, "from_path", classmethod(lambda cls, spark, entity, root, ttl=300.0: asked.append(root)))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    Table.from_azure_blob(spark, Entity(id=Column("bigint")), "AccountName=one;AccountKey=k==", "box", "/a/b")
+    Table.from_azure_blob(spark, Entity(id=Column("bigint")), "AccountName=two;SharedAccessSignature=sv=1&sig=x=;EndpointSuffix=core.example", "box")
+    Table.from_azure_container(spark, Entity(id=Column("bigint")), "three", "box", "p", {"fs.azure.account.auth.type": "OAuth"})
+    assert asked == ["abfss://box@one.dfs.core.windows.net/a/b/", "abfss://box@two.dfs.core.example/", "abfss://box@three.dfs.core.windows.net/p/"]
+    assert conf.get("fs.azure.account.key.one.dfs.core.windows.net") == "k==" and conf.get("fs.azure.sas.fixed.token.two.dfs.core.example") == "sv=1&sig=x="
+    assert conf.get("fs.azure.account.auth.type.two.dfs.core.example") == "SAS" and conf.get("fs.azure.account.auth.type.three.dfs.core.windows.net") == "OAuth"
+    for connection, container in (("AccountKey=k", "box"), ("AccountName=a", "")):
+        with pytest.raises(ValueError):
+            Table.from_azure_blob(spark, Entity(id=Column("bigint")), connection, container)
+
+
+def test_other_statistics(spark, tmp_path):
+    for k in range(8):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    asked = []
+
+    def none(files):
+        asked.append(1)
+        return footers.column_statistics(files).withColumn("min_value", F.lit(None).cast("string"))
+
+    table = Table.from_path(spark, Entity(id=Column("bigint")), str(tmp_path / "t"), statistics=none)
+    found = table.where(lambda r: r.id == 33)
+    assert found.count() == 1 and asked == [1] and found._df.select("__file").distinct().count() == 1 and table._within[(("id", "==", 33),)] is None
+
+
+def test_reduce(people):
+    none = people.where(lambda r: r.id > 99)
+    with pytest.raises(EmptyError):
+        none.reduce("id", lambda a, x: a + x)
+    assert people.reduce("id", lambda a, x: a + x) == 29
+    with pytest.raises(ValueError):
+        people.order_by("id").take_range(-2, 3)
+
+
 def test_compare_pushes_down(people):
     assert "GreaterThanOrEqual(name,B" in plan(people.where(lambda r: r.name.compare("B") >= 0).select("id"))
     assert [people.count(lambda r, f=f: f(r.name.compare("Bob"))) for f in (lambda c: c > 0, lambda c: c >= 0, lambda c: c == 0, lambda c: c != 0, lambda c: c < 0, lambda c: c <= 0, lambda c: ~(c >= 0))] == [0, 2, 2, 3, 3, 5, 3]
