@@ -17,10 +17,10 @@ from pyspark.sql.window import Window
 
 from lodestar.plans.workers import group_arrow, map_arrow
 
-__all__ = ["BROADCAST_ROWS", "attach", "by_text", "forget", "free_shuffles", "group_arrow", "hash_order", "ids_and_texts", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "attach", "by_text", "forget", "free_shuffles", "group_arrow", "hash_order", "ids_and_texts", "is_small", "map_arrow", "materialise", "prefix_digits", "running_total", "shared_dir", "slices", "table"]
 
-#: Rows of a small table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a small table, and bytes where it is written out, that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Rows, and bytes of their texts, that are turned into Python objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
@@ -72,11 +72,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def attach(df: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join ``small``, broadcast only if its counted rows are few, else shuffled under AQE."""
-    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
+def is_small(frame: DataFrame) -> bool:
+    """Whether a table may be broadcast, by its rows and, if it was materialised, by its bytes."""
+    if path := getattr(frame, "written_at", None):
+        target, system = place_of(frame.sparkSession, path)
+        if system.getContentSummary(target).getLength() > BROADCAST_BYTES:
+            return False
+    return frame.count() <= BROADCAST_ROWS
+
+
+def attach(df: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
+    """Join ``small``, broadcast only if it is small, else shuffled under AQE."""
+    return df.join(F.broadcast(small) if is_small(small) else small, on, how)
 
 
 def hash_order(key: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import BROADCAST_ROWS, attach, forget, free_shuffles, group_arrow, map_arrow, materialise, slices
+from lodestar.llm.common import attach, forget, free_shuffles, group_arrow, is_small, map_arrow, materialise, slices
 from lodestar.llm.shingles import FACTOR, STEP, Words, common, mix
 
 SIMILARITY = 0.8
@@ -301,7 +301,7 @@ def candidates(packed: DataFrame, similarity: float, kept: int = KEPT) -> DataFr
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """k1 and the sorted set, as bytes, of the wanted lines (doc_id, line); broadcast if few documents have some."""
     by_doc = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-    few = by_doc.count() <= BROADCAST_ROWS
+    few = is_small(by_doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TOGETHER):
